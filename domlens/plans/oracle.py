@@ -102,8 +102,8 @@ def count_subdomains(sub: str) -> str:
             f"(CASE WHEN list_contains(string_split({sub}, '.'), 'www') THEN 1 ELSE 0 END) END)::BIGINT")
 
 
-def suffix_split_ctes(src: str, name: str = "domain_name", prefix: str = "tmp_") -> str:
-    """CTE text ``_s1 .. _s3`` adding ``{prefix}tld/sld/sub`` to every row of ``src``."""
+def suffix_split_ctes(src: str, name: str = "domain_name", prefix: str = "tmp_", tag: str = "") -> str:
+    """CTE text ``_s1{tag} .. _s3{tag}`` adding ``{prefix}tld/sld/sub`` to every row of ``src``."""
     rules = shipped_rules()
     normal = str_list([r for r, k in rules if k == "normal"])
     wild = str_list([r for r, k in rules if k == "wildcard"])
@@ -111,18 +111,18 @@ def suffix_split_ctes(src: str, name: str = "domain_name", prefix: str = "tmp_")
     cand = "array_to_string(_low[_n - k + 1:_n], '.')"
     cand_w = "array_to_string(_low[_n - k + 2:_n], '.')"
     ip = f"regexp_full_match({name}, {q(IPV4_DOTTED)})"
-    return f"""_s1 AS (SELECT *, string_split({name}, '.') AS _lab, string_split(lower({name}), '.') AS _low,
+    return f"""_s1{tag} AS (SELECT *, string_split({name}, '.') AS _lab, string_split(lower({name}), '.') AS _low,
                   len(string_split({name}, '.')) AS _n FROM {src}),
-_s2 AS (SELECT *, CASE WHEN {ip} THEN 0 ELSE coalesce(
+_s2{tag} AS (SELECT *, CASE WHEN {ip} THEN 0 ELSE coalesce(
           list_max(list_transform(range(1, _n + 1), lambda k: CASE WHEN list_contains({exc}, {cand}) THEN k - 1 END)),
           list_max(list_transform(range(1, _n + 1), lambda k: CASE WHEN list_contains({normal}, {cand})
                    OR (k >= 2 AND list_contains({wild}, {cand_w})) THEN k END)), 0) END AS _sl,
-          {ip} AS _isip FROM _s1),
-_s3 AS (SELECT * EXCLUDE (_lab, _low, _n, _sl, _isip),
+          {ip} AS _isip FROM _s1{tag}),
+_s3{tag} AS (SELECT * EXCLUDE (_lab, _low, _n, _sl, _isip),
           CASE WHEN _sl > 0 THEN array_to_string(_lab[_n - _sl + 1:_n], '.') ELSE '' END AS {prefix}tld,
           CASE WHEN _isip THEN {name} WHEN _n - _sl >= 1 THEN _lab[_n - _sl] ELSE '' END AS {prefix}sld,
           CASE WHEN _isip THEN '' WHEN _n - _sl >= 2 THEN array_to_string(_lab[1:_n - _sl - 1], '.') ELSE '' END
-            AS {prefix}sub FROM _s2)"""
+            AS {prefix}sub FROM _s2{tag})"""
 
 
 def _part_features(s: str, tag: str) -> list[tuple[str, str]]:
