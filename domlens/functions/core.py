@@ -44,26 +44,48 @@ def safe_ratio(num, den) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
 
 
+def run_lengths(arr) -> Column:
+    """Counts of equal values of an array (one sort, one pass; NULL-free input)."""
+    srt = F.array_sort(col(arr))
+    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"),
+                    F.array().cast("array<int>").alias("counts"))
+
+    def step(acc, x):
+        x = x.cast("string")
+        same = acc["prev"] == x
+        return F.struct(x.alias("prev"),
+                        F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"),
+                        F.when(same | (acc["run"] == 0), acc["counts"])
+                        .otherwise(F.concat(acc["counts"], F.array(acc["run"]))).alias("counts"))
+
+    def finish(acc):
+        return F.when(acc["run"] > 0, F.concat(acc["counts"], F.array(acc["run"]))).otherwise(acc["counts"])
+    return F.aggregate(srt, init, step, finish)
+
+
 def value_entropy(arr) -> Column:
     """Shannon entropy (bits) of the value distribution of an array; [] -> 0.0.
 
-    NULL elements count as one value, like numpy.unique would refuse to; callers
-    pass arrays without NULLs.
+    Value counts come from one sort and one run-length pass over the array.
     """
     arr = col(arr)
     n = F.size(arr)
-    uniq = F.array_distinct(arr)
-    counts = F.transform(uniq, lambda u: F.size(F.filter(arr, lambda x: x == u)))
-    h = F.aggregate(
-        counts, F.lit(0.0),
-        lambda acc, c: acc - (c / n) * F.log2(c / n),
-    )
+    h = F.aggregate(run_lengths(arr), F.lit(0.0), lambda acc, c: acc - (c / n) * F.log2(c / n))
     return F.when(n == 0, F.lit(0.0)).otherwise(h + F.lit(0.0))
 
 
 def char_entropy(s) -> Column:
-    """Shannon entropy in bits of the character distribution of ``s``."""
-    return value_entropy(chars(s))
+    """Shannon entropy in bits of the character distribution of ``s``; '' -> 0.
+
+    The characters are sorted and re-joined, so each run of equal characters is
+    one match of a back-referencing regex (generated code); the lambda then only
+    visits one element per distinct character.
+    """
+    s = col(s)
+    n = F.char_length(s)
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(s, "")), ""), F.lit(r"(?s)(.)\1*"), 0)
+    h = F.aggregate(runs, F.lit(0.0), lambda a, r: a - (F.char_length(r) / n) * F.log2(F.char_length(r) / n))
+    return F.when(n == 0, F.lit(0.0)).otherwise(h + F.lit(0.0))
 
 
 def norm_entropy(s) -> Column:
@@ -88,24 +110,29 @@ def md5_mod(s) -> Column:
 
 
 def simhash32(s) -> Column:
-    """32-bit simhash over the characters of ``s``.
+    """32-bit simhash over the characters of ``s`` (Arrow-batched helper, see
+    ``pyhelpers.simhash32_udf``; ``simhash32_expr`` is the pure-expression form)."""
+    from .pyhelpers import simhash32_udf
+    return simhash32_udf(col(s))
+
+
+def simhash32_expr(s) -> Column:
+    """N9 as a pure expression: 32-bit simhash over the characters of ``s``.
 
     Bit i of the result is set when at least half of the characters' MD5 values
-    have bit i set (sign-sum >= 0); the empty string gives 2**32 - 1.
+    have bit i set (sign-sum >= 0); the empty string gives 2**32 - 1.  One pass:
+    each character's MD5 is computed once and added into 32 bit counters.
     """
     cs = chars(s)
     low = F.transform(cs, lambda c: F.conv(F.substring(F.md5(c), 25, 8), 16, 10).cast("long"))
-    n = F.size(cs)
-    out = F.lit(0).cast("long")
-    for i in range(32):
-        ones = F.aggregate(low, F.lit(0), _bit_counter(i))
-        out = out + F.when(ones * 2 >= n, F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
-    return out
-
-
-def _bit_counter(i: int):
-    # bind i through a closure: aggregate inspects the lambda's parameter count
-    return lambda acc, h: acc + F.shiftright(h, i).bitwiseAND(F.lit(1)).cast("int")
+    n = F.char_length(col(s))
+    zeros = F.array_repeat(F.lit(0), 32)
+    # bit i of h: (h div 2^i) mod 2 (shift amounts must be literals, so divide instead)
+    counts = F.aggregate(low, zeros, lambda acc, h: F.transform(
+        acc, lambda a, i: a + (F.floor(h / F.pow(F.lit(2.0), i)) % 2).cast("int")))
+    bits = F.transform(counts, lambda c, i: F.when(c * 2 >= n, F.pow(F.lit(2.0), i).cast("long"))
+                       .otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 # ---------------------------------------------------------------- in-row array statistics
