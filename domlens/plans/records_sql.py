@@ -195,10 +195,10 @@ def case_map(expr: str, mapping: dict, default: str = "NULL") -> str:
 DNS_TYPES = ("A", "AAAA", "CNAME", "MX", "NS", "SOA", "TXT")
 
 
-def dns_sql() -> str:
+def dns_sql(src: str = "rec"):
     counts = ", ".join(f"coalesce(len(dns_{t}), 0)::BIGINT AS dns_{t}_count" for t in ("A", "AAAA", "MX", "NS", "TXT"))
     ctes = f"""d0 AS (SELECT *, {counts}, (dns_SOA IS NOT NULL)::BIGINT AS dns_SOA_count,
-                 (dns_CNAME IS NOT NULL)::BIGINT AS dns_CNAME_count, coalesce(dns_zone, '') AS _zone FROM rec),
+                 (dns_CNAME IS NOT NULL)::BIGINT AS dns_CNAME_count, coalesce(dns_zone, '') AS _zone FROM {src}),
 {O.suffix_split_ctes('d0', '_zone', '_zone_', 'z')},
 d1 AS (SELECT *, CASE WHEN _zone = '' THEN 0 ELSE {O.count_subdomains('_zone_sub')} END AS dns_zone_level FROM _s3z),
 d2 AS (SELECT *, CASE WHEN dns_SOA IS NULL AND dns_zone_level > 0 THEN dns_zone_SOA ELSE dns_SOA END AS _soa FROM d1),
@@ -343,10 +343,10 @@ def geo_sql() -> list[tuple[str, str]]:
 
 
 # ---------------------------------------------------------------- TLS
-def tls_sql() -> tuple[str, list[tuple[str, str]]]:
+def tls_sql(src: str = "rec") -> tuple[str, list[tuple[str, str]]]:
     vdays = "round_even(c.valid_len / 86400.0, 0)"
     expiry = f"round_even((epoch_us(c.validity_end) - epoch_us({TS_AS_OF})) / 86400e6, 0)"
-    cte = f"""t0 AS (SELECT *, coalesce(tls.certificates, []) AS _certs FROM rec),
+    cte = f"""t0 AS (SELECT *, coalesce(tls.certificates, []) AS _certs FROM {src}),
 t1 AS (SELECT *, list_transform(_certs, lambda c: CASE WHEN {vdays} < 0 THEN 1 WHEN {expiry} < 0 THEN 2 ELSE 0 END)
                    AS _flags FROM t0),
 t2 AS (SELECT *, coalesce(list_position(list_transform(_flags, lambda f: f > 0), true), 0) AS _stop FROM t1),
