@@ -22,6 +22,8 @@ RULES_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "p
 
 # Upper bound on rules we are willing to broadcast (the full public list is ~10k).
 MAX_BROADCAST_RULES = 200_000
+# Up to this many rules the grouped rules become a literal map in the plan (no join).
+MAX_LITERAL_RULES = 20_000
 
 HOST_FROM_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 
@@ -74,12 +76,24 @@ def rules_by_tld(rules: DataFrame) -> DataFrame:
             .agg(arr("normal").alias("_normal"), arr("wildcard").alias("_wild"), arr("exception").alias("_exc")))
 
 
-def _lookup_side(rules: DataFrame) -> DataFrame:
+def _lookup_side(rules: DataFrame):
+    """How to look rules up: a literal map (small lists), else a broadcast table (bounded
+    lists), else a plain join; plus the most labels any rule has (bounds how many suffix
+    candidates a name needs)."""
     by_tld = rules_by_tld(rules)
-    n = rules.count()  # small, bounded table: cheap action, decides the join strategy
-    if n <= MAX_BROADCAST_RULES:
-        return F.broadcast(by_tld)
-    return by_tld  # beyond the bound: shuffle join, AQE splits the hot TLD partitions
+    stats = rules.agg(F.count(F.lit(1)).alias("n"),
+                      F.max(F.size(F.split("rule", r"\."))).alias("k")).collect()[0]  # tiny table
+    max_labels = int(stats["k"] or 1) + 1  # a wildcard rule matches one label more than it spells
+    if stats["n"] <= MAX_LITERAL_RULES:
+        # the rule list is configuration of checked size: fold it into the plan as a literal
+        rows = by_tld.collect()
+        lit = F.create_map(*[x for r in rows for x in (
+            F.lit(r["_tld"]), F.struct(F.array(*[F.lit(v) for v in r["_normal"]]).cast("array<string>").alias("n"),
+                                       F.array(*[F.lit(v) for v in r["_wild"]]).cast("array<string>").alias("w"),
+                                       F.array(*[F.lit(v) for v in r["_exc"]]).cast("array<string>").alias("e")))])
+        return ("literal", lit), max_labels
+    side = F.broadcast(by_tld) if stats["n"] <= MAX_BROADCAST_RULES else by_tld
+    return ("join", side), max_labels
 
 
 def with_domain_parts(df: DataFrame, host: str, rules: DataFrame, prefix: str = "tmp_") -> DataFrame:
@@ -89,37 +103,66 @@ def with_domain_parts(df: DataFrame, host: str, rules: DataFrame, prefix: str =
     Matching follows the public-suffix algorithm: the longest matching rule wins,
     an exception rule beats every other rule and yields its parent, and a name
     whose last label is not in the list has an empty suffix (its last label is the
-    registrable label).  A bare IPv4 address is all registrable label.
+    registrable label).  A bare IPv4 address is all registrable label.  The
+    candidates (last 1..K labels, K bounded by the longest rule) are unrolled into
+    plain string expressions, so the whole split runs in generated code.
     """
     h = F.lower(F.col(host))
-    joined = df.withColumn("_tld", F.substring_index(F.coalesce(h, F.lit("")), ".", -1)) \
-        .join(_lookup_side(rules), "_tld", "left")
-    return joined.withColumns(split_columns(F.col(host), prefix)).drop("_tld", "_normal", "_wild", "_exc")
+    (how, side), k_max = _lookup_side(rules)
+    tld = F.substring_index(F.coalesce(h, F.lit("")), ".", -1)
+    if how == "literal":
+        entry = F.try_element_at(side, tld)
+        joined = df.withColumns({"_tld": tld, "_normal": entry["n"], "_wild": entry["w"], "_exc": entry["e"]})
+    else:
+        joined = df.withColumn("_tld", tld).join(side, "_tld", "left")
+    # the suffix length is materialised once; the parts below only reference it
+    with_len = joined.withColumn("_sl", suffix_labels(F.col(host), k_max))
+    return with_len.withColumns(split_columns(F.col(host), prefix, k_max)) \
+        .drop("_tld", "_normal", "_wild", "_exc", "_sl")
 
 
-def split_columns(host: Column, prefix: str = "tmp_") -> dict[str, Column]:
-    labels = F.split(host, r"\.")
-    low = F.split(F.lower(host), r"\.")
-    n = F.size(labels)
-    normal = F.coalesce(F.col("_normal"), F.array().cast("array<string>"))
-    wild = F.coalesce(F.col("_wild"), F.array().cast("array<string>"))
-    exc = F.coalesce(F.col("_exc"), F.array().cast("array<string>"))
+def _label_count(host: Column) -> Column:
+    return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
-    def cand(k):  # last k labels, lower-cased
-        return F.array_join(F.slice(low, n - k + 1, k), ".")
 
-    ks = F.sequence(F.lit(1), n)
-    hit = F.array_max(F.transform(ks, lambda k: F.when(
-        F.array_contains(normal, cand(k)) |
-        ((k >= 2) & F.array_contains(wild, F.array_join(F.slice(low, n - k + 2, k - 1), "."))), k)))
-    exc_hit = F.array_max(F.transform(ks, lambda k: F.when(F.array_contains(exc, cand(k)), k - 1)))
+def suffix_labels(host: Column, k_max: int) -> Column:
+    """How many trailing labels of ``host`` form its public suffix (0 = none)."""
+    low = F.lower(host)
+    n = _label_count(host)
+    empty = F.array().cast("array<string>")
+    normal = F.coalesce(F.col("_normal"), empty)
+    wild = F.coalesce(F.col("_wild"), empty)
+    exc = F.coalesce(F.col("_exc"), empty)
+
+    def cand(k):  # last k labels, lower-cased
+        return F.substring_index(low, ".", -k)
+
+    hits, exc_hits = [], []
+    for k in range(1, k_max + 1):
+        normal_hit = F.array_contains(normal, cand(k))
+        if k >= 2:
+            normal_hit = normal_hit | F.array_contains(wild, cand(k - 1))
+        hits.append(F.when((n >= k) & normal_hit, F.lit(k)))
+        exc_hits.append(F.when((n >= k) & F.array_contains(exc, cand(k)), F.lit(k - 1)))
+    hit = F.greatest(*hits) if len(hits) > 1 else hits[0]
+    exc_hit = F.greatest(*exc_hits) if len(exc_hits) > 1 else exc_hits[0]
+    return F.when(host.rlike(f"^{IPV4_DOTTED}$"), F.lit(0)).otherwise(F.coalesce(exc_hit, hit, F.lit(0)))
+
+
+def split_columns(host: Column, prefix: str = "tmp_", k_max: int = 6) -> dict[str, Column]:
+    """Suffix / registrable label / subdomain from the materialised ``_sl`` column."""
+    n = _label_count(host)
+    sl = F.col("_sl")
     is_ip = host.rlike(f"^{IPV4_DOTTED}$")
-    sl = F.when(is_ip, F.lit(0)).otherwise(F.coalesce(exc_hit, hit, F.lit(0)))
-    rest = n - sl  # labels left of the suffix
-    suffix = F.when(sl > 0, F.array_join(F.slice(labels, n - sl + 1, sl), ".")).otherwise(F.lit(""))
-    sld = F.when(is_ip, host).when(rest >= 1, F.element_at(labels, rest)).otherwise(F.lit(""))
-    sub = F.when(is_ip, F.lit("")).when(rest >= 2, F.array_join(F.slice(labels, 1, rest - 1), ".")) \
-        .otherwise(F.lit(""))
+    suffix = F.lit("")
+    for k in range(k_max, 0, -1):
+        suffix = F.when(sl == k, F.substring_index(host, ".", -k)).otherwise(suffix)
+    # the part left of the suffix (and its dot)
+    rest = F.when(sl == 0, host).when(n > sl, F.substring(host, F.lit(1), F.char_length(host)
+                                                           - F.char_length(suffix) - 1)).otherwise(F.lit(""))
+    sld = F.when(is_ip, host).otherwise(F.substring_index(rest, ".", -1))
+    sub = F.when(is_ip | ~rest.contains("."), F.lit("")).otherwise(
+        F.substring(rest, F.lit(1), F.char_length(rest) - F.char_length(F.substring_index(rest, ".", -1)) - 1))
     return {f"{prefix}tld": suffix, f"{prefix}sld": sld, f"{prefix}sub": sub}
 
 

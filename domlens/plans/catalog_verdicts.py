@@ -113,15 +113,21 @@ def verdict_merge(spark, sf_dir):
     return merge_keep_first(old, new, order="event_id", key="domain")
 
 
+EARLY = "2024-01-03 00:00:00"  # results stored before this time count as already processed
+
+
 @query("F4_not_yet_processed", f"""
 SELECT DISTINCT 'u' || user_id || '.example.net' AS domain FROM events
-EXCEPT SELECT domain FROM ({SQL_VERDICTS}) WHERE event_type = 'view'
+EXCEPT SELECT 'u' || user_id || '.example.net' FROM events
+       WHERE event_type = 'view' AND ts < TIMESTAMP '{EARLY}'
 """)
 def not_yet_processed(spark, sf_dir):
-    """listed domains (every user) without an earlier (``view``) result."""
-    listed = table(spark, sf_dir, "events").select(
-        F.concat(F.lit("u"), F.col("user_id"), F.lit(".example.net")).alias("domain")).distinct()
-    done = verdict_table(spark, sf_dir).filter(F.col("event_type") == "view")
+    """listed domains (every user) without an early stored (``view``) result."""
+    ev = table(spark, sf_dir, "events")
+    dom = F.concat(F.lit("u"), F.col("user_id"), F.lit(".example.net")).alias("domain")
+    listed = ev.select(dom).distinct()
+    done = ev.filter((F.col("event_type") == "view") & (F.col("ts") < F.lit(EARLY).cast("timestamp_ntz"))) \
+        .select(dom)
     return V.not_yet_processed(listed, done)
 
 

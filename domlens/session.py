@@ -24,6 +24,8 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+    # nested domain records count every nested field; keep whole-stage codegen for them
+    "spark.sql.codegen.maxFields": "2000",
     "spark.ui.enabled": "false",
 }
 
