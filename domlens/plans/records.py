@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tls import TLS_CIPHER_IDS
+from ..session import ensure_parallelism
 from .bindings import table
 
 # Fixed values (binding): real country names for nation keys 0..24, and the snapshot time.
@@ -133,7 +134,7 @@ def _cert(i: Column, n: Column) -> Column:
 
 def star_records(spark, sf_dir) -> DataFrame:
     """The projected record for every lineitem row (keys + domain columns)."""
-    j = joined(spark, sf_dir)
+    j = ensure_parallelism(joined(spark, sf_dir))
     ln, sz = _c("l_linenumber"), _c("p_size")
     j = j.withColumns({
         "_brand": F.lower(F.replace(_c("p_brand"), F.lit("#"), F.lit(""))),

@@ -73,3 +73,14 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ensure_parallelism(df, factor: int = 2):
+    """Spread CPU-heavy row-local work over every core when the input has fewer
+    partitions than the cluster's default parallelism (small inputs: one Parquet
+    file is one split).  A large input already has more partitions than cores, so
+    on a cluster this adds no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
