@@ -41,9 +41,12 @@ def get_session(app: str = "domlens", master: str | None = None, **conf: str) ->
         active.conf.set("spark.sql.session.timeZone", "UTC")
         return active
     builder = SparkSession.builder.appName(app)
+    extra = {}
     if master:
         builder = builder.master(master)
-    for k, v in {**_DEFAULTS, **conf}.items():
+        if master.startswith("local"):
+            extra["spark.driver.memory"] = "12g"  # local mode: the driver JVM is the only executor
+    for k, v in {**_DEFAULTS, **extra, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
