@@ -76,10 +76,21 @@ def rules_by_tld(rules: DataFrame) -> DataFrame:
             .agg(arr("normal").alias("_normal"), arr("wildcard").alias("_wild"), arr("exception").alias("_exc")))
 
 
+_LOOKUPS: dict = {}
+
+
 def _lookup_side(rules: DataFrame):
     """How to look rules up: a literal map (small lists), else a broadcast table (bounded
     lists), else a plain join; plus the most labels any rule has (bounds how many suffix
-    candidates a name needs)."""
+    candidates a name needs).  Memoised per session and rule-list plan, so a query that
+    splits several name columns inspects the rule list once."""
+    key = (id(rules.sparkSession), rules.semanticHash())
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = _prepare_lookup(rules)
+    return _LOOKUPS[key]
+
+
+def _prepare_lookup(rules: DataFrame):
     by_tld = rules_by_tld(rules)
     stats = rules.agg(F.count(F.lit(1)).alias("n"),
                       F.max(F.size(F.split("rule", r"\."))).alias("k")).collect()[0]  # tiny table
