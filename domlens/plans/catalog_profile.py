@@ -148,3 +148,26 @@ def schema_ops(spark, sf_dir):
     ref = "page_id BIGINT, domain_name STRING, name_len DOUBLE, sld_len DOUBLE, tld_abuse DOUBLE, lex_sub_count BIGINT"
     from pyspark.sql.types import StructType
     return P.realign(feats, StructType.fromDDL(ref))                                           # P13
+
+
+@query("F7_false_positives", """
+SELECT d.doc_id, d.n_chars, l.quality AS label, (d.n_chars >= 2000)::INTEGER AS prediction
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+WHERE (d.n_chars >= 2000)::INTEGER = 1 AND l.quality = 0
+""")
+def false_positives(spark, sf_dir):
+    """documents the len2000 rule flags as good although labelled poor; the key travels
+    with the row (no offset arithmetic)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = d.join(lab, "doc_id").withColumn("prediction", (F.col("n_chars") >= 2000).cast("int"))
+    return P.false_positives(scored)
+
+
+@query("P14_P15_labels", """
+SELECT doc_id, 'cesnet' AS label, regexp_replace(lang || ':dga', ':dga$', '') AS family FROM documents
+""")
+def constant_and_clean_labels(spark, sf_dir):
+    """A constant label column; P15: the ':dga' suffix stripped from a label."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("lang"), F.lit(":dga")).alias("family"))
+    return P.clean_label(P.constant_label(d, "cesnet"), column="family").select("doc_id", "label", "family")
