@@ -49,7 +49,7 @@ def _days(ts: Column, days: Column) -> Column:
 
 
 def joined(spark, sf_dir) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").select(
+    li = ensure_parallelism(table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("timestamp").alias("l_shipdate"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey",
@@ -134,7 +134,7 @@ def _cert(i: Column, n: Column) -> Column:
 
 def star_records(spark, sf_dir) -> DataFrame:
     """The projected record for every lineitem row (keys + domain columns)."""
-    j = ensure_parallelism(joined(spark, sf_dir))
+    j = joined(spark, sf_dir)
     ln, sz = _c("l_linenumber"), _c("p_size")
     j = j.withColumns({
         "_brand": F.lower(F.replace(_c("p_brand"), F.lit("#"), F.lit(""))),
