@@ -96,13 +96,21 @@ def _prepare_lookup(rules: DataFrame):
                       F.max(F.size(F.split("rule", r"\."))).alias("k")).collect()[0]  # tiny table
     max_labels = int(stats["k"] or 1) + 1  # a wildcard rule matches one label more than it spells
     if stats["n"] <= MAX_LITERAL_RULES:
-        # the rule list is configuration of checked size: fold it into the plan as a literal
-        rows = by_tld.collect()
-        lit = F.create_map(*[x for r in rows for x in (
-            F.lit(r["_tld"]), F.struct(F.array(*[F.lit(v) for v in r["_normal"]]).cast("array<string>").alias("n"),
-                                       F.array(*[F.lit(v) for v in r["_wild"]]).cast("array<string>").alias("w"),
-                                       F.array(*[F.lit(v) for v in r["_exc"]]).cast("array<string>").alias("e")))])
-        return ("literal", lit), max_labels
+        # the rule list is configuration of checked size: fold it into the plan as literal
+        # maps, bucketed by Spark's own hash of the TLD so a lookup scans ~16 keys, not all
+        n_keys = by_tld.count()
+        buckets = max(1, -(-n_keys // 16))
+        rows = by_tld.withColumn("_b", F.pmod(F.hash("_tld"), F.lit(buckets))).collect()
+        maps = []
+        for b in range(buckets):
+            entries = [x for r in rows if r["_b"] == b for x in (
+                F.lit(r["_tld"]),
+                F.struct(F.array(*[F.lit(v) for v in r["_normal"]]).cast("array<string>").alias("n"),
+                         F.array(*[F.lit(v) for v in r["_wild"]]).cast("array<string>").alias("w"),
+                         F.array(*[F.lit(v) for v in r["_exc"]]).cast("array<string>").alias("e")))]
+            maps.append(F.create_map(*entries) if entries else F.create_map(
+                F.lit("").cast("string"), F.struct(*[F.array().cast("array<string>").alias(k) for k in "nwe"])))
+        return ("literal", (F.array(*maps), buckets)), max_labels
     side = F.broadcast(by_tld) if stats["n"] <= MAX_BROADCAST_RULES else by_tld
     return ("join", side), max_labels
 
@@ -122,7 +130,8 @@ def with_domain_parts(df: DataFrame, host: str, rules: DataFrame, prefix: str =
     (how, side), k_max = _lookup_side(rules)
     tld = F.substring_index(F.coalesce(h, F.lit("")), ".", -1)
     if how == "literal":
-        entry = F.try_element_at(side, tld)
+        maps, buckets = side
+        entry = F.try_element_at(F.element_at(maps, (F.pmod(F.hash(tld), F.lit(buckets)) + 1).cast("int")), tld)
         joined = df.withColumns({"_tld": tld, "_normal": entry["n"], "_wild": entry["w"], "_exc": entry["e"]})
     else:
         joined = df.withColumn("_tld", tld).join(side, "_tld", "left")
