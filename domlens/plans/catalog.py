@@ -34,9 +34,6 @@ def query(name: str, sql: str | None = None, round_doubles: bool = True):
 
 
 def load_all() -> None:
-    from . import catalog_lexical, catalog_sets, catalog_metrics  # noqa: F401
-    for mod in ("catalog_records", "catalog_verdicts", "catalog_ml", "catalog_pipeline", "catalog_profile"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError:
-            pass
+    """Import every catalog module (each registers its queries on import)."""
+    from . import (catalog_lexical, catalog_metrics, catalog_ml, catalog_pipeline,  # noqa: F401
+                   catalog_profile, catalog_records, catalog_sets, catalog_verdicts)
