@@ -171,6 +171,5 @@ def ngram_matches(spark, sf_dir):
     """Per page, how many grams of each family dictionary occur in its dot-free name."""
     hosts = _stripped_hosts(spark, sf_dir).withColumn("tc", F.replace(F.col("t"), F.lit("."), F.lit("")))
     bound = sum(sum(top.values()) for _, _, top in FAMILY_SETS.values())  # top-N sizes bound the dictionary
-    counts = NG.ngram_match_counts(hosts.select("page_id", "tc"), "page_id", "tc", family_dictionaries(spark, sf_dir),
-                                   size_bound=bound)
-    return hosts.select("page_id").join(counts, "page_id", "left").fillna(0, subset=_MATCH_COLS)
+    cols = NG.ngram_match_columns(F.col("tc"), family_dictionaries(spark, sf_dir), size_bound=bound)
+    return hosts.select("page_id", *[cols[c].alias(c) for c in _MATCH_COLS])

@@ -68,3 +68,17 @@ def test_ngram_matches_bounded_by_dictionary(spark, rules):
     txt = spark.createDataFrame([(1, "paypallogin"), (2, "zzzz")], "k int, t string")
     m = {r.k: r for r in NG.ngram_match_counts(txt, "k", "t", d).collect()}
     assert m[1].lex_phishing_bigram_matches <= 5 and 2 not in m
+
+
+def test_literal_and_join_matching_agree(spark, rules):
+    from domlens.operators import ngrams as NG
+    hosts = spark.createDataFrame([("www.paypal-login.example.com",), ("secure-login.bank.example.net",),
+                                   ("blog.example.org",)], "domain_name string")
+    d = NG.domain_ngram_dictionary(hosts, rules, "phishing", {2: 20, 3: 20, 4: 20, 5: 20})
+    txt = spark.createDataFrame([(1, "paypallogin"), (2, "zzzz"), (3, "securebank"), (4, "")], "k int, t string")
+    m = {"phishing": (2, 3, 4, 5)}
+    cols = NG.ngram_match_columns(F.col("t"), d, m)
+    lit = {r.k: tuple(r)[1:] for r in txt.select("k", *[cols[c].alias(c) for c in sorted(cols)]).collect()}
+    joined = txt.select("k").join(NG.ngram_match_counts(txt, "k", "t", d, m), "k", "left").fillna(0)
+    via_join = {r.k: tuple(r[c] for c in sorted(cols)) for r in joined.collect()}
+    assert lit == via_join and lit[1][0] > 0 and lit[2] == (0, 0, 0, 0)
