@@ -134,8 +134,59 @@ def tls_columns(as_of: Column) -> dict[str, Column]:
     return out
 
 
-def tls_features(df: DataFrame, as_of: Column | None = None) -> DataFrame:
+def encode_policy(oid: Column) -> Column:
+    """int(oid without dots) mod (2**31 - 1), folded digit by digit (OIDs can exceed 64
+    bits); NULL or '' -> 0."""
+    digits = F.regexp_replace(oid, r"\.", "")
+    folded = F.aggregate(C.chars(digits), F.lit(0).cast("long"),
+                         lambda a, d: F.pmod(a * 10 + d.cast("long"), F.lit(C.HASH_MOD)))
+    return F.when(F.coalesce(F.char_length(oid), F.lit(0)) == 0, F.lit(0).cast("long")).otherwise(folded)
+
+
+def tls_extra_columns(as_of: Column) -> dict[str, Column]:
+    """C16 (optional, off by default as in the original): root / leaf certificate lifetime
+    at ``as_of`` in days (half-even), mean validity of the walked chain (one decimal),
+    encoded ISO / joint ISO-ITU policy OIDs of the last such policy, unknown-policy count."""
+    tls = F.col("tls")
+    certs = F.coalesce(tls["certificates"], F.array())
+    flags = F.transform(certs, lambda c: F.when(validity_days(c) < 0, F.lit(1))
+                        .when(days_to_expiry(c, as_of) < 0, F.lit(2)).otherwise(F.lit(0)))
+    stop = F.array_position(F.transform(flags, lambda f: f > 0), True)
+    walked = F.when(stop > 0, F.slice(certs, 1, stop - 1)).otherwise(certs)
+    leaf = F.try_element_at(walked, F.lit(1))
+    root = _last(F.filter(walked, lambda c: F.coalesce(c["is_root"], F.lit(False))))
+
+    def lifetime(c):
+        return F.when(c.isNull(), F.lit(-1)).otherwise(F.bround(
+            (F.unix_micros(as_of) - F.unix_micros(c["validity_start"])).cast("double") / 86400e6, 0)).cast("long")
+    n = F.size(walked)
+    total = F.aggregate(walked, F.lit(0).cast("long"), lambda a, c: a + validity_days(c))
+    pols = F.filter(F.flatten(F.transform(F.filter(F.flatten(F.transform(walked, lambda c: F.coalesce(
+        c["extensions"], F.array()))), lambda e: (e["name"] == POLICIES) & e["value"].isNotNull()),
+        lambda e: F.transform(F.split(e["value"], ","), lambda x: F.substring_index(x, "\n", 1)))),
+        lambda x: x.startswith("Policy:"))
+    iso = F.filter(pols, lambda x: ~x.contains("X509v3") & x.startswith("Policy: 1."))
+    isoitu = F.filter(pols, lambda x: ~x.contains("X509v3") & ~x.startswith("Policy: 1.")
+                      & x.startswith("Policy: 2."))
+    unknown = F.filter(pols, lambda x: ~x.contains("X509v3") & ~x.startswith("Policy: 1.")
+                       & ~x.startswith("Policy: 2."))
+    feats = {
+        "tls_root_cert_lifetime": lifetime(root),
+        "tls_leaf_cert_lifetime": lifetime(leaf),
+        "tls_mean_certs_validity_len": F.when(n == 0, F.lit(-1.0)).otherwise(F.bround(total / n, 1)),
+        "tls_iso_policy_oid": encode_policy(F.regexp_extract(_last(iso), r"1\.[0-9.]+", 0)),
+        "tls_isoitu_policy_oid": encode_policy(F.regexp_extract(_last(isoitu), r"2\.[0-9.]+", 0)),
+        "tls_unknown_policy_crt_count": F.size(unknown).cast("long"),
+    }
+    has_certs = tls.isNotNull() & (F.size(certs) > 0)
+    return {k: F.when(has_certs, v) for k, v in feats.items()}
+
+
+def tls_features(df: DataFrame, as_of: Column | None = None, extras: bool = False) -> DataFrame:
     """Replace ``tls`` by its features; ``as_of`` defaults to today's midnight (pass it for
-    reproducible runs)."""
+    reproducible runs).  ``extras`` adds the optional C16 columns."""
     as_of = as_of if as_of is not None else C.midnight()
-    return df.withColumns(tls_columns(as_of)).drop("tls")
+    cols = tls_columns(as_of)
+    if extras:
+        cols.update(tls_extra_columns(as_of))
+    return df.withColumns(cols).drop("tls")

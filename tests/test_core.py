@@ -76,3 +76,12 @@ def test_ipv6_canonical_forms_agree(spark):
     assert rows[0].c == rows[1].c == "2001:0db8:0000:0000:0000:0000:0000:0001"
     assert rows[2].c == "0000:0000:0000:0000:0000:ffff:0102:0304"
     assert rows[3].c == ":".join(["0000"] * 8) and rows[0].p == "2001:0db8:0000:0000"
+
+
+def test_policy_oid_encoding_matches_big_integers(spark):
+    from domlens.operators.tls import encode_policy
+    oids = ["1.3.6.1.4.1.11129.2.5.3", "2.23.140.1.2.1", "1." + ".".join(str(i) for i in range(30, 60)), "", None]
+    df = spark.createDataFrame([(o,) for o in oids], "o string")
+    got = [r[0] for r in df.select(encode_policy(F.col("o"))).collect()]
+    want = [int(o.replace(".", "")) % 2147483647 if o else 0 for o in oids]
+    assert got == want
