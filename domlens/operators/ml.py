@@ -135,11 +135,11 @@ def class_weights(df: DataFrame, label: str = "label", positive_weight: float |
     scale_pos_weight), or inverse class frequency when not given (one small aggregate)."""
     if positive_weight is not None:
         return df.withColumn(name, F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)))
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-    total = df.count()
-    n_cls = counts.count()
-    return df.join(F.broadcast(counts), label).withColumn(name, F.lit(float(total)) / (n_cls * F.col("_c"))) \
-        .drop("_c")
+    # one pass: class sizes (one row per class) -> weights folded in as a literal map
+    sizes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    total, n_cls = sum(sizes.values()), len(sizes)
+    weights = F.create_map(*[x for k, c in sizes.items() for x in (F.lit(k), F.lit(total / (n_cls * c)))])
+    return df.withColumn(name, F.element_at(weights, F.col(label)))
 
 
 # ---------------------------------------------------------------- M11-M16: tuning, scoring, importance
