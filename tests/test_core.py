@@ -85,3 +85,13 @@ def test_policy_oid_encoding_matches_big_integers(spark):
     got = [r[0] for r in df.select(encode_policy(F.col("o"))).collect()]
     want = [int(o.replace(".", "")) % 2147483647 if o else 0 for o in oids]
     assert got == want
+
+
+def test_ipv6_gap_positions(spark):
+    import ipaddress
+
+    from domlens.operators.ip import ipv6_canonical
+    addrs = ["1::", "::1", "fe80::1:2", "2001:db8:0:0:1::", "a:b:c:d:e:f:1:2", "::"]
+    df = spark.createDataFrame([(a,) for a in addrs], "ip string")
+    got = [r[0] for r in df.select(ipv6_canonical(F.col("ip"))).collect()]
+    assert got == [ipaddress.IPv6Address(a).exploded for a in addrs]
