@@ -185,11 +185,13 @@ def feature_importances(model, names: list[str]) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, arr)]
 
 
-def permute_column(df: DataFrame, column: str, key: str, seed: int = 7, buckets: int = 1024) -> DataFrame:
+def permute_column(df: DataFrame, column: str, key: str, seed: int = 7, buckets: int | None = None) -> DataFrame:
     """M17 helper: shuffle one column's values across rows.  Rows are spread over hash
     buckets; inside a bucket they are ranked by key and by a seeded hash, and each
     row takes the value of the row holding its rank in the other order.  Bucketing
     keeps every window task small however many rows there are."""
+    if buckets is None:  # grow with the job's shuffle parallelism so each window task stays small
+        buckets = max(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     b = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(buckets))
     base = df.withColumn("_b", b)
     by_key = Window.partitionBy("_b").orderBy(F.col(key))

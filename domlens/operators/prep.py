@@ -53,6 +53,9 @@ def project_documents(raw: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- labels
+MAX_BROADCAST_CLASSES = 100_000
+
+
 def combine_label(df: DataFrame) -> DataFrame:
     """P5: label <- label ':' category (NULL if either is NULL); category dropped."""
     return df.withColumn("label", F.concat(F.col("label"), F.lit(":"), F.col("category"))).drop("category")
@@ -73,7 +76,9 @@ def label_to_index(df: DataFrame, classes: DataFrame, column: str = "label", out
     label raises (``raise_error``), as the original's dict lookup did.  The class table is
     tiny (tens of classes) and broadcast."""
     cls = classes.select(F.col(classes.columns[0]).alias("_lbl"), F.col(classes.columns[1]).alias("_cid"))
-    j = df.join(F.broadcast(cls), df[column] == cls["_lbl"], "left")
+    if cls.count() <= MAX_BROADCAST_CLASSES:  # class tables are tiny; checked, not assumed
+        cls = F.broadcast(cls)
+    j = df.join(cls, df[column] == cls["_lbl"], "left")
     checked = F.when(F.col("_cid").isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.col(column)))) \
         .otherwise(F.col("_cid"))
     return j.withColumn(out, checked.cast("int")).drop("_lbl", "_cid")
@@ -82,7 +87,9 @@ def label_to_index(df: DataFrame, classes: DataFrame, column: str = "label", out
 def index_to_label(df: DataFrame, classes: DataFrame, column: str = "prediction", out: str = "label") -> DataFrame:
     """P16 inverse."""
     cls = classes.select(F.col(classes.columns[1]).alias("_cid"), F.col(classes.columns[0]).alias(out))
-    return df.join(F.broadcast(cls), F.col(column).cast("int") == F.col("_cid"), "left").drop("_cid")
+    if cls.count() <= MAX_BROADCAST_CLASSES:
+        cls = F.broadcast(cls)
+    return df.join(cls, F.col(column).cast("int") == F.col("_cid"), "left").drop("_cid")
 
 
 # ---------------------------------------------------------------- column sets
