@@ -64,3 +64,28 @@ def test_pipeline_snapshots_and_streams(spark, rules):
     q = S.feature_stream(spark, os.path.join(src, "*"), sink, lambda b: PL.run(b, reg), checkpoint=ck)
     q.awaitTermination()
     assert S.read_batches(spark, sink).count() == 6
+
+
+def test_dataset_batch_skips_failures_and_tags(spark):
+    d = _tmp()
+    spark.range(3).write.parquet(os.path.join(d, "a"))
+    spark.range(2).withColumn("extra", F.lit(1)).write.parquet(os.path.join(d, "b"))
+    frames = IO.load_datasets(spark, {"a": os.path.join(d, "a"), "b": os.path.join(d, "b"),
+                                      "missing": os.path.join(d, "nope")}, IO.read_parquet)
+    assert sorted(frames) == ["a", "b"]
+    tagged = IO.tag_dataset(frames)
+    assert sorted((r.dataset, r.n) for r in tagged.groupBy("dataset").agg(F.count("*").alias("n")).collect()) == [
+        ("a", 3), ("b", 2)]
+
+
+def test_training_table_is_numeric_and_filled(spark, rules):
+    from fixtures import AS_OF, records_df
+
+    from domlens.plans import pipeline as PL
+    reg = PL.default_registry(rules, F.lit(AS_OF).cast("timestamp"))
+    feats = PL.run(records_df(spark), reg).drop("domain_name", "label")
+    table = PL.training_table(feats)
+    kinds = {t for _, t in table.dtypes}
+    assert kinds <= {"bigint", "int", "double"}, kinds
+    assert table.filter(F.col("dns_ttl_avg").isNull()).count() == 0
+    assert table.filter(F.col("dns_ttl_avg") == -1).count() >= 1  # filled, not dropped
