@@ -89,3 +89,18 @@ def test_training_table_is_numeric_and_filled(spark, rules):
     assert kinds <= {"bigint", "int", "double"}, kinds
     assert table.filter(F.col("dns_ttl_avg").isNull()).count() == 0
     assert table.filter(F.col("dns_ttl_avg") == -1).count() >= 1  # filled, not dropped
+
+
+def test_dictionary_json_and_record_roundtrip(spark, rules):
+    from fixtures import records_df
+
+    from domlens.operators import ngrams as NG
+    d = _tmp()
+    hosts = spark.createDataFrame([("www.paypal-login.example.com",)], "domain_name string")
+    dic = NG.domain_ngram_dictionary(hosts, rules, "phishing", {2: 5, 3: 5})
+    NG.dictionary_to_json(dic, os.path.join(d, "dict"))
+    back = NG.dictionary_from_json(spark, os.path.join(d, "dict"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, dic.collect()))
+    records_df(spark).write.mode("overwrite").parquet(os.path.join(d, "records"))
+    again = IO.read_domain_records(spark, os.path.join(d, "records"))
+    assert again.count() == 4 and again.schema == records_df(spark).schema
