@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo_dedup, mixing, sharding
+from . import cuckoo_dedup, dac, mixing, pieces, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,25 @@ def query(f):
     return f
 
 
+def tokenizer(name: str) -> str:
+    """Place of a public tokenizer's file; on a cluster the package is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written in directly addressable codes and read back."""
+    return dac.tokens_roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
+
+
+@query
+def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with source alignment, and decoded."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
+
+
 @query
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 contiguous shards of near equal bytes."""
