@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo_dedup, dac, mixing, pieces, sharding
+from . import cuckoo_dedup, dac, mixing, pieces, sharding, transducer
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,12 @@ def op1_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.tokens_roundtrip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+@query
+def op2_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents, counted by the compiled transducer."""
+    return transducer.token_counts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 @query
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with source alignment, and decoded."""

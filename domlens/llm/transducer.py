@@ -4,8 +4,9 @@ The tokenizer (byte-level BPE behind the usual splitting pattern) is compiled, s
 texts need them, into a deterministic transducer over bytes whose transitions carry the change of
 the token count. A state knows what can still matter: which kind of run the splitter is in, and for
 every place in the run from which a vocabulary entry could still grow, its node in the vocabulary's
-trie, the token that ends there and the count so far. As the last token of every prefix of a run is
-the only one that may follow the token before it, these items decide all later counts.
+trie, the count so far, and the token that ends there or, deeper in the trie, which of the tokens
+below the node may follow it. As the last token of every prefix of a run is the only one that may
+follow the token before it, these items decide all later counts.
 
 Texts are cut into chunks. A chunk's state map (start state to end state and count) is found for
 many chunks in step; maps are then composed along each text, and where a chunk turns out to start
@@ -29,6 +30,8 @@ CHUNK = 512
 MAX_STATES = 120_000  # states after which the compiled table is dropped and begun anew
 _HALF = 64            # a transition is next state * 2 * _HALF + (change of count + _HALF)
 
+SMALL = 32            # tokens of a subtree that is told by which of them may follow
+
 START, RUN, BLANKS, QUOTE, QUOTE2, PART = range(6)
 LETTER, NUMBER, OTHER, BLANK = range(4)
 #: The suffixes that the splitting pattern cuts off after an apostrophe.
@@ -67,24 +70,31 @@ class Transducer:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             a, b = bytes(letters[c] for c in a), bytes(letters[c] for c in b)
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
-        # the vocabulary as a trie: (node, byte) -> node; node 0 is the root
+        # a token's edges: what stands at its right and left edge while it is merged, and the rank
+        # of the merge that takes it away (none takes the whole token)
+        made = {new: (rank, a, b) for (a, b), (rank, new) in sorted(self.merges.items(), key=lambda x: -x[1][0])}
+        self.right, self.left = ({i: self._edge(made, i, side) for i in self.text} for side in (2, 1))
+        # the vocabulary as a trie: (node, byte) -> node; node 0 is the root; a node's tokens are a
+        # range of the tokens in byte order, of which the first may be the node's own
+        self.order = sorted(self.text, key=self.text.__getitem__)
         self.trie: dict[int, int] = {}
-        self.token = [-1]
-        self.inner = [True]
-        for i, t in self.text.items():
+        self.token, self.low, self.high = [-1], [0], [0]
+        for place, i in enumerate(self.order):
             node = 0
-            for byte in t:
-                self.inner[node] = True
+            self.high[0] = place + 1
+            for byte in self.text[i]:
                 nxt = self.trie.get(node << 8 | byte)
                 if nxt is None:
                     nxt = self.trie[node << 8 | byte] = len(self.token)
                     self.token.append(-1)
-                    self.inner.append(False)
+                    self.low.append(place)
+                    self.high.append(place)
                 node = nxt
+                self.high[node] = place + 1
             self.token[node] = i
-        self.follows: dict[tuple[int, int], bool] = {}
         self.kinds: dict[str, int] = {}
         self._steps: dict = {}
+        self._masks: dict[int, int] = {}
         self._clear()
 
     # ------------------------------------------------------------ what a merge leaves
@@ -106,33 +116,65 @@ class Transducer:
             tokens = out
         return tokens
 
+    def _edge(self, made: dict, token: int, side: int) -> list[tuple[int, int]]:
+        out, gone = [], 1 << 60
+        while True:
+            out.append((token, gone))
+            if token not in made or len(self.text[token]) == 1:
+                return out
+            gone, token = made[token][0], made[token][side]
+
     def may_follow(self, before: int, token: int) -> bool:
-        """Whether the two stay as they are next to each other (before < 0: at a run's start)."""
-        key = before, token
-        if (known := self.follows.get(key)) is None:
-            whole = (self.text[before] if before >= 0 else b"") + self.text[token]
-            known = self.follows[key] = self.bpe([self.single[b] for b in whole]) == ([before, token] if before >= 0 else [token])
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-        return known
+        """Whether the two stay as they are next to each other (before < 0: at a run's start): no
+        pair of their edges merges while both are there (of equal ranks the left merge is first)."""
+        if before < 0:
+            return self.bpe([self.single[b] for b in self.text[token]]) == [token]
+        merges, none, right = self.merges, (1 << 61, 0), self.right[before]
+        for y, y_gone in self.left[token]:
+            for x, x_gone in right:
+                rank = merges.get((x, y), none)[0]
+                if rank < x_gone and rank <= y_gone:
+                    return False
+        return True
+
+    def _item(self, node: int, before: int) -> tuple[int, int, int] | None:
+        """What matters of a place where ``before`` ends and from which ``node`` has been read: in a
+        small subtree, which of its tokens (bit k: the k-th one below) may follow; else ``before``."""
+        low = self.low[node] + (self.token[node] >= 0)
+        if self.high[node] - low > SMALL:
+            return (node, before, -1)
+        key = node << 20 | before + 1
+        if (mask := self._masks.get(key)) is None:
+            mask = self._masks[key] = sum(1 << k for k, t in enumerate(self.order[low:self.high[node]]) if self.may_follow(before, t))
+        return (node, 0, mask) if mask else None
 
     def step(self, items: tuple, byte: int) -> tuple[tuple, int]:
         """Items after one more byte of a run, and the change of its count."""
         if (known := self._steps.get((items, byte))) is not None:
             return known
         grown, last, change = [], -1, 0
-        for node, before, count in items:
+        for node, before, mask, count in items:
             nxt = self.trie.get(node << 8 | byte)
             if nxt is None:
                 continue
             token = self.token[nxt]
-            if token >= 0 and self.may_follow(before, token):
-                last, change = token, count + 1
-            if self.inner[nxt]:
-                grown.append((nxt, before, count))
+            if mask < 0:
+                if token >= 0 and self.may_follow(before, token):
+                    last, change = token, count + 1
+                item = self._item(nxt, before)
+            else:
+                mask >>= self.low[nxt] - self.low[node] - (self.token[node] >= 0)
+                if token >= 0:
+                    if mask & 1:
+                        last, change = token, count + 1
+                    mask >>= 1
+                mask &= (1 << (self.high[nxt] - self.low[nxt] - (token >= 0))) - 1
+                item = (nxt, 0, mask) if mask else None
+            if item:
+                grown.append((*item, count))
         if last < 0:
             raise AssertionError("no token ends here")
-        out = (*((n, b, c - change) for n, b, c in grown), (0, last, 0)), change
+        out = (*((n, b, m, c - change) for n, b, m, c in grown), (0, last, -1, 0)), change
         self._steps[items, byte] = out
         return out
 
@@ -153,7 +195,7 @@ class Transducer:
 
     def character(self, state: tuple, char: str) -> tuple[tuple, int]:
         """State after a character, and the change of the count that holds if the text ends there."""
-        data, kind, fresh = char.encode(), self.kind(char), ((0, -1, 0),)
+        data, kind, fresh = char.encode(), self.kind(char), ((0, -1, -1, 0),)
         what = state[0]
         if what == RUN and kind == state[1]:
             items, change = self.steps(state[2], data)
@@ -243,6 +285,9 @@ class Transducer:
         """Tokens of each of the texts data[offsets[k]:offsets[k + 1]]."""
         if len(self.states) > MAX_STATES:
             self._clear()
+        if len(self._masks) + len(self._steps) > 4 * MAX_STATES:  # these only save time
+            self._masks.clear()
+            self._steps.clear()
         out = np.zeros(len(offsets) - 1, np.int64)
         bounds, texts = self._segments(data, offsets, out)
         if not len(bounds):
