@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cuckoo_dedup, dac, mixing, pieces, sharding, transducer
+from . import cuckoo_dedup, dac, mixing, ngram_join, pieces, sharding, transducer
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+@query
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents linked by 4-word shingles with a Jaccard similarity of 0.85 or more."""
+    return ngram_join.ngram_classes(table(spark, sf_dir, "documents"), n=4, threshold="0.85")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents; the largest id of each group stays."""
