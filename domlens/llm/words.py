@@ -50,6 +50,15 @@ def hash_runs(data: np.ndarray, inside: np.ndarray, cuts: np.ndarray) -> tuple[n
     return starts, starts + size, mix(np.add.reduceat(value, begin) + size.astype(np.uint64))
 
 
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the runs longer than ``size`` bytes: their numbers and the hashes of their first bytes."""
+    long = np.flatnonzero(ends - starts > size)
+    out = np.zeros(len(long), np.uint64)
+    for k in range(size):
+        out += (data[starts[long] + k].astype(np.uint64) + np.uint64(1)) * powers(size)[k]
+    return long, mix(out + np.uint64(size << 32))
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z) and, for each text, the
     number of the first one (texts + 1)."""
