@@ -196,34 +196,53 @@ def _codec(path: str) -> PieceCodec:
 
 
 # ---------------------------------------------------------------- on tables
-_PIECES = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())])
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("covered", pa.int64())])
+_SHAPES = {
+    "pieces": pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())]),
+    "ids": pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]),
+    "digests": pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("covered", pa.int64())]),
+}
+_DDL = {
+    "pieces": "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string",
+    "ids": "doc_id long, n_tokens long, ids array<int>",
+    "digests": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long",
+}
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per document: (doc_id, ids, starts, ends, decoded), where starts[k] to ends[k] are the
-    UTF-8 bytes of the text that piece k stands for; or, with ``digests``, (doc_id, n_tokens,
-    ids_sha256 of the decimal ids joined by commas, decoded_sha256, covered: bytes inside spans).
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document, by ``output``:
+
+    * pieces: (doc_id, ids, starts, ends, decoded), where starts[k] to ends[k] are the UTF-8 bytes of
+      the text that piece k stands for;
+    * ids: (doc_id, n_tokens, ids);
+    * digests: (doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256,
+      covered: bytes of the text inside spans).
 
     A character that the model spells in bytes has a span for each byte. Null and empty texts have
     no ids and decode to the empty text. Repeated rows each have their own row; other columns are
     ignored; nothing is shuffled and each task holds a few MB of texts (or one longer text).
     """
+    shape = _SHAPES[output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         for batch in slices(batches, "text"):
-            doc = batch.column("doc_id").cast(pa.int64())
             found = codec.encode([t or b"" for t in batch.column("text").to_pylist()])
-            decoded = [codec.decode(ids) if ids else "" for ids, _ in found]
-            if digests:
-                sha = [hashlib.sha256(",".join([codec.decimal[i] for i in ids]).encode()).hexdigest() for ids, _ in found]
-                yield pa.RecordBatch.from_arrays([doc, pa.array([len(ids) for ids, _ in found], pa.int64()), pa.array(sha), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                                                  pa.array([int(b[-1] - b[0]) for _, b in found], pa.int64())], schema=_DIGESTS)
-            else:
-                yield pa.RecordBatch.from_arrays([doc, pa.array([ids for ids, _ in found], _PIECES.field(1).type), pa.array([b[:-1] for _, b in found], _PIECES.field(2).type), pa.array([b[1:] for _, b in found], _PIECES.field(3).type), pa.array(decoded)], schema=_PIECES)
+            columns = {"doc_id": batch.column("doc_id"), "n_tokens": [len(ids) for ids, _ in found]}
+            if output != "digests":
+                columns["ids"] = [np.array(ids, np.int32) for ids, _ in found]
+            if output == "pieces":
+                columns |= {"starts": [b[:-1] for _, b in found], "ends": [b[1:] for _, b in found]}
+            if output != "ids":
+                decoded = [codec.decode(ids) if ids else "" for ids, _ in found]
+                columns |= {"decoded": decoded} if output == "pieces" else {
+                    "ids_sha256": [_sha256(",".join([codec.decimal[i] for i in ids])) for ids, _ in found],
+                    "decoded_sha256": [_sha256(t) for t in decoded], "covered": [int(b[-1] - b[0]) for _, b in found]}
+            yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in shape], schema=shape)
 
     rows = narrow(docs, doc_id=id_col, text=text_col)
     rows = rows.select(rows["doc_id"].cast("long"), rows["text"].cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long" if digests
-                           else "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string")
+    return rows.mapInArrow(run, _DDL[output])

@@ -40,7 +40,7 @@ def op2_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with source alignment, and decoded."""
-    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), digests=True)
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), output="digests")
 
 
 @query
