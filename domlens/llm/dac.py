@@ -146,8 +146,9 @@ class WordEncoder:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        # a full stop or comma after a letter is a piece of its own
-        stem = {w: w[:-1] if self.any_case and len(w) > 1 and w[-1] in ".," and w[-2].isalpha() else w for w in words}
+        # a full stop or comma after a letter is a piece of its own (a letter that stays one: U+0130
+        # and some beyond U+0250 leave a mark behind when normalised)
+        stem = {w: w[:-1] if self.any_case and len(w) > 1 and w[-1] in ".," and w[-2].isalpha() and w[-2] < "\u0250" and w[-2] != "\u0130" else w for w in words}
         learn = [w for w in dict.fromkeys(stem.values()) if w.encode() not in self.known]
         plain = [w for w in learn if self.any_case and w.isalpha() and max(w) < "\u0250" and "\u0130" not in w]
         if self.ends.any():
