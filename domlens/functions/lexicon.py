@@ -89,9 +89,8 @@ CONSONANTS = "bcdfghjklmnpqrstvwxyz"   # compared as is (not lower-cased)
 HEX_CHARS = "0123456789ABCDEFabcdef"
 
 # Dotted and dashed IPv4 address patterns (searched anywhere in the name).
-_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IPV4_DOTTED = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-IPV4_DASHED = rf"(?:{_OCTET}-){{3}}{_OCTET}"
+IPV4_DOTTED = r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+IPV4_DASHED = r"(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)-){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 
 # Part-length buckets (inclusive bounds).
 PART_BUCKETS = {"short": (None, 3), "medium": (4, 10), "long": (11, 30), "superlong": (31, None)}

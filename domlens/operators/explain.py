@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 PREFIX_RE = "^[a-z]+_"
 
 
@@ -31,6 +33,23 @@ def top_k(importance: DataFrame, k: int, column: str = "mean_abs", ascending: bo
     return importance.orderBy(order, F.asc("feature")).limit(k)
 
 
+def ranked(importance: DataFrame, k: int, column: str = "mean_abs") -> DataFrame:
+    """The k largest with their places from 1 (a window over k rows)."""
+    return top_k(importance, k, column).withColumn("place", F.row_number().over(Window.orderBy(F.desc(column), F.asc("feature"))).cast("long"))
+
+
+def sorted_places(df: DataFrame, order: list) -> DataFrame:
+    """T4: rows in a global order, with their places from 1.  A range-partitioned sort, kept in the
+    checkpoint folder; the places come from the sizes of the ranges before (one row per range) and
+    the place inside the range."""
+    own = Window.partitionBy("_range").orderBy(*order)
+    dealt = cut_lineage(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+    placed = dealt.withColumn("_at", F.row_number().over(own))
+    before = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return placed.join(before, "_range").withColumn("place", F.col("_at") + F.col("_before")).select("place", *df.columns)
+
+
 def top_k_per_prefix(importance: DataFrame, k: int) -> DataFrame:
     """How many of the top-k features each prefix has (prefixes with none kept at 0)."""
     prefixes = importance.select(F.regexp_extract("feature", PREFIX_RE, 0).alias("prefix")).distinct()
@@ -55,9 +74,9 @@ def feature_summary(strongest: DataFrame, digits: int = 2) -> DataFrame:
     modes = r.groupBy("feature", "_v").agg(F.count(F.lit(1)).alias("_c")) \
         .groupBy("feature").agg(F.max_by("_v", F.struct("_c", -F.col("_v"))).alias("modal_value"),
                                 F.sum("_c").alias("n_samples"))
-    # one row per feature: bounded by the feature-vector width, so broadcast it and
-    # keep the sample side where it is (a hot feature never lands in one task)
-    return r.select("feature", "sample_id", "value").join(F.broadcast(modes), "feature")
+    # one row per feature: Spark broadcasts it below its own size threshold, and else splits hot
+    # features' partitions (AQE)
+    return r.select("feature", "sample_id", "value").join(modes, "feature")
 
 
 def min_max_normalise(importance: DataFrame, column: str = "mean_abs") -> DataFrame:

@@ -1,7 +1,7 @@
 """Sampling, splitting, scaling, training and evaluation on Spark ML.
 
-Splits are seeded hash thresholds evaluated per row (no shuffle, reproducible,
-stratified in expectation because every class is cut at the same fraction).
+Splits are stratified: each class is cut at its own quantile of a seeded hash, found from a
+histogram of bounded size per class, so no class is sorted in one task.
 Models are Spark ML estimators with the original parameters carried over where
 Spark has an equivalent; metrics come from ``metrics.py`` (a confusion table
 aggregated on the executors) so nothing but metric rows reaches the driver.
@@ -28,31 +28,47 @@ from . import metrics as M
 # ---------------------------------------------------------------- K1-K4: sampling and splits
 
 
-def hash_fraction(key: Column, seed: int) -> Column:
-    """Seeded pseudo-random number in [0, 1) from a row key (stable across runs and
-    executors, unlike ``rand``)."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)).cast("double") / float(1 << 30)
+HASH_SLOTS = 1_000_003
 
 
-def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
-    """K1: Bernoulli sample (Spark's seeded sampler)."""
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
+def slot(key: Column, seed: int) -> Column:
+    """Seeded pseudo-random slot in [0, HASH_SLOTS) of an integer key, in plain integer arithmetic
+    (the key is reduced first, so no key overflows)."""
+    return F.pmod(F.pmod(key, F.lit(HASH_SLOTS)) * F.lit(2654435761) + F.lit((seed + 1) * 40503), F.lit(HASH_SLOTS))
 
 
-def split(df: DataFrame, key: Column, test_fraction: float = 0.3, seed: int = 42,
-          hash_col: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """K2 / K3: (train, test) by a seeded hash threshold per row.  Every class is cut at
-    the same fraction, so class proportions are kept in expectation without a shuffle."""
-    h = hash_col if hash_col is not None else hash_fraction(key, seed)
-    tagged = df.withColumn("_h", h)
-    return tagged.filter(F.col("_h") >= test_fraction).drop("_h"), tagged.filter(F.col("_h") < test_fraction).drop("_h")
+def sample_fraction(df: DataFrame, fraction: float, key: Column, seed: int = 42) -> DataFrame:
+    """K1: seeded sample by a hash of the key; the same rows whatever the file splits."""
+    return df.filter(slot(key, seed) < fraction * HASH_SLOTS)
 
 
-def with_fold(df: DataFrame, key: Column, k: int, seed: int = 42, hash_col: Column | None = None,
-              name: str = "fold") -> DataFrame:
-    """K4: k-fold assignment column (usable as ``CrossValidator(foldCol=...)``)."""
-    h = hash_col if hash_col is not None else hash_fraction(key, seed)
-    return df.withColumn(name, F.least(F.floor(h * k), F.lit(k - 1)).cast("int"))
+def _class_histogram(df: DataFrame, label: str) -> DataFrame:
+    """Rows (label, _slot, _until, _all): rows of the class up to each slot, and of the class.  A row
+    for each slot in use, HASH_SLOTS per class at most, however many rows there are."""
+    counts = df.groupBy(F.col(label).alias("_class"), "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    own = Window.partitionBy("_class")
+    return counts.select("_class", "_slot", (F.sum("_n").over(own.orderBy("_slot"))).alias("_until"), F.sum("_n").over(own).alias("_all"), "_n")
+
+
+def split(df: DataFrame, label: str, key: Column, test_fraction: float = 0.3, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """K2 / K3: stratified (train, test).  Of every class the rows with the smallest hashes go to
+    test, as many as round(test_fraction * class size) allows without parting equal hashes."""
+    tagged = df.withColumn("_slot", slot(key, seed))
+    cut = _class_histogram(tagged, label).groupBy("_class").agg(
+        F.max(F.when(F.col("_until") <= F.round(F.col("_all") * test_fraction), F.col("_slot"))).alias("_cut"))
+    joined = tagged.join(cut, tagged[label].eqNullSafe(cut["_class"]))  # a row for each class
+    in_test = F.col("_slot") <= F.coalesce("_cut", F.lit(-1))
+    return joined.filter(~in_test).select(*df.columns), joined.filter(in_test).select(*df.columns)
+
+
+def with_fold(df: DataFrame, label: str, key: Column, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
+    """K4: stratified k-fold assignment (usable as ``CrossValidator(foldCol=...)``): of every class
+    the fold of a row is the k-quantile that its hash lies in."""
+    tagged = df.withColumn("_slot", slot(key, seed))
+    h = _class_histogram(tagged, label)
+    folds = h.select("_class", F.col("_slot").alias("_at"), F.floor((F.col("_until") - F.col("_n")) * k / F.col("_all")).cast("int").alias(name))
+    joined = tagged.join(folds, tagged[label].eqNullSafe(folds["_class"]) & (tagged["_slot"] == folds["_at"]))
+    return joined.select(*df.columns, name)
 
 
 # ---------------------------------------------------------------- features
@@ -88,16 +104,23 @@ def linear_svc(n_train: int, c: float = 59.0, features: str = "features", label:
     return LinearSVC(featuresCol=features, labelCol=label, regParam=1.0 / (c * max(n_train, 1)), maxIter=200)
 
 
+def _check_depth(depth: int) -> None:
+    if depth > 30:
+        raise ValueError(f"Spark trees are at most 30 deep, not {depth}")
+
+
 def decision_tree(max_depth: int = 24, features: str = "features", label: str = "label", seed: int = 42):
-    """M5 (Spark trees are at most 30 deep)."""
-    return DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=min(max_depth, 30), seed=seed)
+    """M5 (Spark trees are at most 30 deep; a deeper one is refused)."""
+    _check_depth(max_depth)
+    return DecisionTreeClassifier(featuresCol=features, labelCol=label, maxDepth=max_depth, seed=seed)
 
 
 def random_forest(num_trees: int = 340, max_depth: int = 17, impurity: str = "entropy", features: str = "features",
                   label: str = "label", weight: str | None = None, seed: int = 42):
     """M6: entropy forest; class weights through a weight column (see ``class_weights``)."""
+    _check_depth(max_depth)
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=num_trees,
-                                maxDepth=min(max_depth, 30), impurity=impurity, seed=seed)
+                                maxDepth=max_depth, impurity=impurity, seed=seed)
     return rf.setWeightCol(weight) if weight else rf
 
 
@@ -185,44 +208,45 @@ def feature_importances(model, names: list[str]) -> list[tuple[str, float]]:
     return [(n, float(v)) for n, v in zip(names, arr)]
 
 
-def permute_column(df: DataFrame, column: str, key: str, seed: int = 7, buckets: int | None = None) -> DataFrame:
-    """M17 helper: shuffle one column's values across rows.  Rows are spread over hash
-    buckets; inside a bucket they are ranked by key and by a seeded hash, and each
-    row takes the value of the row holding its rank in the other order.  Bucketing
-    keeps every window task small however many rows there are."""
-    if buckets is None:  # grow with the job's shuffle parallelism so each window task stays small
-        buckets = max(1024, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(buckets))
-    base = df.withColumn("_b", b)
-    by_key = Window.partitionBy("_b").orderBy(F.col(key))
-    by_hash = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    left = base.withColumn("_r", F.row_number().over(by_key)).drop(column)
-    right = base.select("_b", F.row_number().over(by_hash).alias("_r"), F.col(column))
-    return left.join(right, ["_b", "_r"]).drop("_b", "_r")
+BUCKET_ROWS = 1_000
+
+
+def permuted(df: DataFrame, columns: list[str], key: str, seed: int = 7, rows: int | None = None) -> DataFrame:
+    """M17 helper: add ``_other``, a struct of ``columns`` of another row.  Rows are dealt to hash
+    buckets of about BUCKET_ROWS rows (their number follows the rows, not a setting), and in a bucket
+    each row gets the values of the next one in a seeded random order, the last those of the first:
+    every row of a bucket of two or more moves."""
+    rows = df.count() if rows is None else rows
+    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(max(1, rows // BUCKET_ROWS)))
+    base = df.withColumn("_b", b).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_own", F.struct(*columns))
+    w = Window.partitionBy("_b").orderBy("_h", key)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return base.withColumn("_other", F.coalesce(F.lead("_own").over(w), F.first("_own").over(whole))).drop("_b", "_h", "_own")
 
 
 def permutation_importance(model, df: DataFrame, features: list[str], key: str, label: str = "label",
-                           metric: str = "f1", assembler: Callable | None = None) -> list[tuple[str, float]]:
-    """Drop in ``metric`` when each feature is permuted (attribution re-aimed from the
-    original's tree explainer).  ``model`` is a fitted pipeline starting from raw columns."""
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName=metric)
-    base = ev.evaluate(model.transform(df))
-    out = []
-    for f in features:
-        out.append((f, base - ev.evaluate(model.transform(permute_column(df, f, key)))))
-    return out
+                           metric: str = "f1") -> DataFrame:
+    """(feature, drop): how far ``metric`` of held-out rows falls when a feature is permuted
+    (attribution re-aimed from the original's tree explainer).  ``model`` is a fitted pipeline that
+    starts from the columns; all features are scored in one pass."""
+    names = ["", *features]  # "": nothing permuted
+    each = permuted(df, features, key).withColumn("_feature", F.explode(F.array(*map(F.lit, names))))
+    each = each.withColumns({f: F.when(F.col("_feature") == f, F.col("_other")[f]).otherwise(F.col(f)) for f in features})
+    found = evaluate(score(model, each.drop("_other")), label, "prediction", "_feature").select("_feature", metric)
+    base = found.filter("_feature = ''").first()[metric]  # one number
+    return found.filter("_feature <> ''").select(F.col("_feature").alias("feature"), (F.lit(base) - F.col(metric)).alias("f1_drop"))
 
 
 def multi_seed_runs(make_estimator: Callable[[int], object], df: DataFrame, key: str, features: list[str],
                     seeds=(0, 1, 2), test_fraction: float = 0.3, label: str = "label",
-                    classifier: str = "model") -> DataFrame:
+                    classifier: str = "model", prepare: list | None = None) -> DataFrame:
     """A12 input: fit / score once per seed, metrics as a long table
     (classifier, seed, metric, value)."""
     spark = df.sparkSession
     rows = []
     for seed in seeds:
-        train, test = split(df, F.col(key), test_fraction, seed)
-        pipe = Pipeline(stages=[assemble(features), make_estimator(seed)])
+        train, test = split(df, label, F.col(key), test_fraction, seed)
+        pipe = Pipeline(stages=[*(prepare or [assemble(features)]), make_estimator(seed)])
         model = pipe.fit(train)
         m = evaluate(score(model, test), label).collect()[0].asDict()
         for k in M.METRICS:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import explain as X
 from ..operators import metrics as M
+from ..operators.ml import slot
 from .bindings import table
 from .catalog import query
 
@@ -40,11 +41,11 @@ SQL_SCORED = ("SELECT d.doc_id, d.n_chars, l.quality, l.toxic, "
 
 def split_hash(key, seed: int):
     """Seeded pseudo-random fraction in [0, 1) of an integer key (same arithmetic in SQL)."""
-    return F.pmod(F.col(key) * F.lit(2654435761) + F.lit((seed + 1) * 40503), F.lit(1000003)) / F.lit(1000003.0)
+    return slot(F.col(key), seed) / F.lit(1000003.0)
 
 
 def sql_split_hash(key: str, seed: str) -> str:
-    return f"((({key}) * 2654435761 + (({seed}) + 1) * 40503) % 1000003) / 1000003.0"
+    return f"((((({key}) % 1000003 + 1000003) % 1000003) * 2654435761 + (({seed}) + 1) * 40503) % 1000003) / 1000003.0"
 
 
 def _bin_sql(pred: str, truth: str = "quality") -> str:
@@ -141,7 +142,7 @@ def seed_runs(spark, sf_dir):
     """Long table (classifier, seed, metric, value): each rule scored on each seed's test split."""
     s = scored(spark, sf_dir)
     seeded = s.select("*", F.explode(F.array(*[F.lit(x) for x in SEEDS])).alias("seed"))
-    h = F.pmod(F.col("doc_id") * F.lit(2654435761) + (F.col("seed") + 1) * F.lit(40503), F.lit(1000003)) \
+    h = F.pmod(F.pmod("doc_id", F.lit(1000003)) * F.lit(2654435761) + (F.col("seed") + 1) * F.lit(40503), F.lit(1000003)) \
         / F.lit(1000003.0)
     test = seeded.filter(h < TEST_FRACTION)
     long = test.select("quality", "seed", F.explode(F.array(*[
@@ -226,14 +227,14 @@ def attributions(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     pre = F.concat(F.lower("l_linestatus"), F.lit("_"))
     return li.select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("sample_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("sample_id"),
         F.explode(F.array(*[F.struct(F.concat(pre, F.lit(n)).alias("feature"), f().cast("double").alias("value"))
                             for n, (f, _) in ATTR_FEATURES.items()])).alias("a")) \
         .select("sample_id", "a.feature", "a.value")
 
 
 SQL_ATTR = " UNION ALL ".join(
-    f"SELECT l_orderkey * 8 + l_linenumber AS sample_id, lower(l_linestatus) || '_{n}' AS feature, "
+    f"SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS sample_id, lower(l_linestatus) || '_{n}' AS feature, "
     f"({sql})::DOUBLE AS value FROM lineitem" for n, (_, sql) in ATTR_FEATURES.items())
 SQL_MEAN_ABS = f"SELECT feature, avg(abs(value)) AS mean_abs FROM ({SQL_ATTR}) GROUP BY feature"
 

@@ -26,19 +26,17 @@ def _tls_table(spark, sf_dir):
     return TLS.tls_features(star_records(spark, sf_dir), as_of()).select("label", *TLS_FEATURES)
 
 
-@query("A4_nonnull_ratio", "SELECT * FROM (" + " UNION ALL ".join(
+@query("A4_nonnull_ratio", "SELECT *, neg_count::DOUBLE / pos_count AS ratio FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, count(CASE WHEN label = 'benign' THEN {c} END)::BIGINT AS neg_count, "
     f"count(CASE WHEN label = 'phishing' THEN {c} END)::BIGINT AS pos_count FROM ({SQL_TLS_TABLE})"
     for c in TLS_FEATURES) + ") WHERE pos_count <> 0 "
     "ORDER BY neg_count::DOUBLE / pos_count DESC, feature LIMIT 16")
 def nonnull_ratio(spark, sf_dir):
     """A4: benign / phishing ratio of non-NULL counts of the TLS features, top 16."""
-    out = PR.nonnull_ratio(_tls_table(spark, sf_dir), TLS_FEATURES, "label", "phishing", "benign")
-    return out.select("feature", "neg_count", "pos_count")
+    return PR.nonnull_ratio(_tls_table(spark, sf_dir), TLS_FEATURES, "label", "phishing", "benign")
 
 
-HIST_FEATURES = ["tls_leaf_cert_validity_len", "tls_total_extension_count", "tls_CA_certs_in_chain_ratio",
-                 "tls_negotiated_cipher_id"]
+HIST_FEATURES = TLS_FEATURES
 _HIST_LONG = " UNION ALL ".join(f"SELECT label AS class, '{c}' AS feature, coalesce(({c})::DOUBLE, -1.0) AS value "
                                 f"FROM f" for c in HIST_FEATURES)
 
@@ -49,13 +47,15 @@ s0 AS (SELECT feature, class, min(value) AS lo, max(value) AS hi, count(*) AS n
 s AS (SELECT feature, class, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo,
              CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi, n FROM s0),
 b AS (SELECT l.feature, l.class, least(floor((value - lo) / (hi - lo) * {PR.BINS}), {PR.BINS - 1})::INTEGER AS bin,
-             lo, hi, n FROM l JOIN s ON l.feature = s.feature AND l.class = s.class)
-SELECT feature, class, bin, lo + bin * ((hi - lo) / {PR.BINS}) AS bin_start, count(*)::BIGINT AS count,
-       count(*) / (n * ((hi - lo) / {PR.BINS})) AS density
-FROM b GROUP BY feature, class, bin, lo, hi, n
+             lo, hi, n FROM l JOIN s ON l.feature = s.feature AND l.class = s.class),
+c AS (SELECT feature, class, bin, count(*)::BIGINT AS count FROM b GROUP BY 1, 2, 3),
+a AS (SELECT s.*, r.bin::INTEGER AS bin FROM s, range({PR.BINS}) r(bin))
+SELECT a.feature, a.class, a.bin, lo + a.bin * ((hi - lo) / {PR.BINS}) AS bin_start, coalesce(count, 0)::BIGINT AS count,
+       coalesce(count, 0) / (n * ((hi - lo) / {PR.BINS})) AS density
+FROM a LEFT JOIN c ON a.feature = c.feature AND a.class = c.class AND a.bin = c.bin
 """)
 def histograms(spark, sf_dir):
-    """A5: 20-bin density histograms of four TLS features per class (NULL -> -1)."""
+    """A5: 20-bin density histograms of all TLS features per class (NULL -> -1)."""
     return PR.histograms(_tls_table(spark, sf_dir), HIST_FEATURES, "label")
 
 
@@ -165,9 +165,9 @@ def false_positives(spark, sf_dir):
 
 
 @query("P14_P15_labels", """
-SELECT doc_id, 'cesnet' AS label, regexp_replace(lang || ':dga', ':dga$', '') AS family FROM documents
+SELECT doc_id, 'listed' AS label, regexp_replace(lang || ':dga', ':dga$', '') AS family FROM documents
 """)
 def constant_and_clean_labels(spark, sf_dir):
     """A constant label column; P15: the ':dga' suffix stripped from a label."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("lang"), F.lit(":dga")).alias("family"))
-    return P.clean_label(P.constant_label(d, "cesnet"), column="family").select("doc_id", "label", "family")
+    return P.clean_label(P.constant_label(d, "listed"), column="family").select("doc_id", "label", "family")
