@@ -69,23 +69,6 @@ def suffix_split(spark, sf_dir):
                         without_suffix("tmp_sub", "tmp_sld").alias("without_suffix"))
 
 
-# ---------------------------------------------------------------- all lexical features
-_LEX = O.lexical_select_list()
-LEXICAL_SQL = f"""
-WITH base AS ({SQL_PAGE_HOSTS}), {O.lexical_ctes('base')}
-SELECT page_id, domain_name, {', '.join(f'{e} AS {c}' for c, e in _LEX)} FROM _lexin
-"""
-_LEX_DOUBLES = [c for c, _ in _LEX if c.endswith(("ratio", "entropy", "score", "avg_part_len", "stdev_part_lens",
-                                                   "digit_count")) and c != "lex_suffix_score"]
-
-
-@query("L_lexical_features", O.rounded(LEXICAL_SQL, _LEX_DOUBLES))
-def lexical(spark, sf_dir):
-    """The lexical feature vector of every page host."""
-    hosts = page_hosts(spark, sf_dir).select("page_id", "domain_name")
-    return lexical_features(hosts, load_suffix_rules(spark))
-
-
 # ---------------------------------------------------------------- A1: n-gram counts
 def _sql_grams(text: str, n: str) -> str:
     return (f"CASE WHEN length({text}) >= {n} THEN list_transform(range(1, length({text}) - {n} + 2), "
@@ -142,34 +125,50 @@ FAMILY_SETS = {  # family -> (url predicate in Spark, in SQL, top-N)
 }
 
 
-def family_dictionaries(spark, sf_dir):
-    rules = load_suffix_rules(spark)
+def family_dictionary(spark, sf_dir):
+    """The dictionaries of all families, from one scan of the pages."""
     hosts = page_hosts(spark, sf_dir)
-    out = None
-    for fam, (pred, _, top) in FAMILY_SETS.items():
-        d = NG.domain_ngram_dictionary(hosts.filter(pred(F.col("url"))), rules, fam, top)
-        out = d if out is None else out.unionByName(d)
-    return out
+    families = F.filter(F.array(*[F.when(pred(F.col("url")), F.lit(fam)) for fam, (pred, _, _) in FAMILY_SETS.items()]), lambda f: f.isNotNull())
+    return NG.family_ngram_dictionary(hosts.select("domain_name", families.alias("families")), load_suffix_rules(spark), {f: top for f, (_, _, top) in FAMILY_SETS.items()})
 
 
-_MATCH_COLS = [NG.match_column_name(f, n) for f, ns in NG.MATCHED.items() for n in ns]
-MATCH_SQL = f"""
-WITH {STRIPPED_CTE},
-dict AS ({' UNION ALL '.join(_sql_top(w, fam, top) for fam, (_, w, top) in FAMILY_SETS.items())}),
-g AS (SELECT DISTINCT page_id, v.n AS n, unnest({_sql_grams('tc', 'v.n')}) AS gram
-      FROM stripped, (VALUES (2), (3), (4), (5)) v(n)),
-hits AS (SELECT g.page_id, d.family, d.n FROM g JOIN dict d ON g.n = d.n AND g.gram = d.gram)
-SELECT s.page_id, {', '.join(
-    f"count(CASE WHEN h.family = '{f}' AND h.n = {n} THEN 1 END)::BIGINT AS {NG.match_column_name(f, n)}"
-    for f, ns in NG.MATCHED.items() for n in ns)}
-FROM stripped s LEFT JOIN hits h ON s.page_id = h.page_id GROUP BY s.page_id
-"""
+_MATCH_COLS = NG.match_columns()
+DICT_SQL = f"""WITH {STRIPPED_CTE}
+{' UNION ALL '.join(f"SELECT * FROM ({_sql_top(w, fam, top)})" for fam, (_, w, top) in FAMILY_SETS.items())}"""
+
 
+def sql_matches(texts: str) -> str:
+    """(tc, one count per dictionary) of the distinct names ``tc`` of ``texts`` that match any."""
+    return f"""SELECT g.tc, {', '.join(f"count(CASE WHEN d.family = '{f}' AND d.n = {n} THEN 1 END)::BIGINT AS {NG.match_column_name(f, n)}" for f, ns in NG.MATCHED.items() for n in ns)}
+FROM (SELECT DISTINCT tc, v.n AS n, unnest({_sql_grams('tc', 'v.n')}) AS gram FROM (SELECT DISTINCT tc FROM {texts}), (VALUES (2), (3), (4), (5)) v(n)) g
+JOIN ({DICT_SQL}) d ON g.n = d.n AND g.gram = d.gram GROUP BY g.tc"""
 
-@query("L20_ngram_matches", MATCH_SQL)
+
+MATCH_LIST = ", ".join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in _MATCH_COLS)
+
+
+@query("L20_ngram_matches", f"""
+WITH {STRIPPED_CTE}, m AS ({sql_matches('stripped')})
+SELECT s.page_id, {MATCH_LIST} FROM stripped s LEFT JOIN m ON s.tc = m.tc
+""")
 def ngram_matches(spark, sf_dir):
     """Per page, how many grams of each family dictionary occur in its dot-free name."""
     hosts = _stripped_hosts(spark, sf_dir).withColumn("tc", F.replace(F.col("t"), F.lit("."), F.lit("")))
-    bound = sum(sum(top.values()) for _, _, top in FAMILY_SETS.values())  # top-N sizes bound the dictionary
-    cols = NG.ngram_match_columns(F.col("tc"), family_dictionaries(spark, sf_dir), size_bound=bound)
-    return hosts.select("page_id", *[cols[c].alias(c) for c in _MATCH_COLS])
+    return NG.with_ngram_matches(hosts.select("page_id", "tc"), "tc", family_dictionary(spark, sf_dir)).drop("tc")
+
+
+# ---------------------------------------------------------------- all lexical features
+_LEX = O.lexical_select_list()
+LEXICAL_SQL = f"""
+WITH base AS ({SQL_PAGE_HOSTS}), {O.lexical_ctes('base')}, m AS ({sql_matches('(SELECT tmp_concat AS tc FROM _lexin)')})
+SELECT page_id, domain_name, {', '.join(f'{e} AS {c}' for c, e in _LEX)}, {MATCH_LIST} FROM _lexin LEFT JOIN m ON _lexin.tmp_concat = m.tc
+"""
+_LEX_DOUBLES = [c for c, _ in _LEX if c.endswith(("ratio", "entropy", "score", "avg_part_len", "stdev_part_lens",
+                                                   "digit_count")) and c != "lex_suffix_score"]
+
+
+@query("L_lexical_features", O.rounded(LEXICAL_SQL, _LEX_DOUBLES))
+def lexical(spark, sf_dir):
+    """The lexical feature vector of every page host (62 columns)."""
+    hosts = page_hosts(spark, sf_dir).select("page_id", "domain_name")
+    return lexical_features(hosts, load_suffix_rules(spark), ngram_dictionary=family_dictionary(spark, sf_dir))

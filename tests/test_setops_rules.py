@@ -65,20 +65,32 @@ def test_ngram_matches_bounded_by_dictionary(spark, rules):
     hosts = spark.createDataFrame([("www.paypal-login.example.com",), ("login.example.com",)], "domain_name string")
     d = NG.domain_ngram_dictionary(hosts, rules, "phishing", {2: 5, 3: 5, 4: 5, 5: 5})
     assert d.groupBy("n").count().filter(F.col("count") > 5).count() == 0
-    txt = spark.createDataFrame([(1, "paypallogin"), (2, "zzzz")], "k int, t string")
-    m = {r.k: r for r in NG.ngram_match_counts(txt, "k", "t", d).collect()}
-    assert m[1].lex_phishing_bigram_matches <= 5 and 2 not in m
+    txt = spark.createDataFrame([(1, "paypallogin"), (2, "zzzz"), (3, None)], "k int, t string")
+    m = {r.k: r for r in NG.with_ngram_matches(txt, "t", d).collect()}
+    assert 0 < m[1].lex_phishing_bigram_matches <= 5
+    assert all(m[k][c] == 0 for k in (2, 3) for c in NG.match_columns())
 
 
-def test_literal_and_join_matching_agree(spark, rules):
+def test_family_dictionaries_and_matches_are_brute_force(spark, rules):
+    from collections import Counter
+
     from domlens.operators import ngrams as NG
-    hosts = spark.createDataFrame([("www.paypal-login.example.com",), ("secure-login.bank.example.net",),
-                                   ("blog.example.org",)], "domain_name string")
-    d = NG.domain_ngram_dictionary(hosts, rules, "phishing", {2: 20, 3: 20, 4: 20, 5: 20})
-    txt = spark.createDataFrame([(1, "paypallogin"), (2, "zzzz"), (3, "securebank"), (4, "")], "k int, t string")
-    m = {"phishing": (2, 3, 4, 5)}
-    cols = NG.ngram_match_columns(F.col("t"), d, m)
-    lit = {r.k: tuple(r)[1:] for r in txt.select("k", *[cols[c].alias(c) for c in sorted(cols)]).collect()}
-    joined = txt.select("k").join(NG.ngram_match_counts(txt, "k", "t", d, m), "k", "left").fillna(0)
-    via_join = {r.k: tuple(r[c] for c in sorted(cols)) for r in joined.collect()}
-    assert lit == via_join and lit[1][0] > 0 and lit[2] == (0, 0, 0, 0)
+    rows = [("paypal-login.example.com", ["a", "b"]), ("secure-login.bank.example.net", ["a"]), ("blog.example.org", ["b"]),
+            ("blog.example.org", ["b"]), ("x.example.org", [])]
+    top = {"a": {2: 7, 3: 4}, "b": {2: 5, 3: 100}}
+    d = NG.family_ngram_dictionary(spark.createDataFrame(rows, "domain_name string, families array<string>"), rules, top)
+    texts = {"paypal-login.example.com": "paypal-login.example", "secure-login.bank.example.net": "secure-login.bank.example",
+             "blog.example.org": "blog.example", "x.example.org": "x.example"}
+    want = set()
+    for family, sizes in top.items():
+        for n, k in sizes.items():
+            counts = Counter(t[i:i + n] for name, f in rows if family in f for t in [texts[name]] for i in range(len(t) - n + 1))
+            want |= {(family, n, g, c) for g, c in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]}
+    assert {tuple(r) for r in d.select("family", "n", "gram", "cnt").collect()} == want
+    names = ["paypallogin", "zzzz", "securebank", "", None]
+    txt = spark.createDataFrame(list(enumerate(names)), "k int, t string")
+    got = {r.k: r for r in NG.with_ngram_matches(txt, "t", d, {"a": (2, 3), "b": (3,)}).collect()}
+    for k, t in enumerate(names):
+        for family, n in (("a", 2), ("a", 3), ("b", 3)):
+            grams = {(t or "")[i:i + n] for i in range(len(t or "") - n + 1)}
+            assert got[k][NG.match_column_name(family, n)] == len(grams & {g for f, m, g, _ in want if (f, m) == (family, n)})
