@@ -64,29 +64,49 @@ def _count(arr: Column) -> Column:
     return F.size(arr).cast("long")
 
 
-def tls_columns(as_of: Column) -> dict[str, Column]:
-    tls = F.col("tls")
-    certs = F.coalesce(tls["certificates"], F.array())
-    flags = F.transform(certs, lambda c: F.when(validity_days(c) < 0, F.lit(1))
-                        .when(days_to_expiry(c, as_of) < 0, F.lit(2)).otherwise(F.lit(0)))
-    stop = F.array_position(F.transform(flags, lambda f: f > 0), True)  # 1-based, 0 = none
-    n_seen = F.when(stop > 0, stop).otherwise(F.size(certs))  # certificates visited, incl. the stopping one
-    walked = F.when(stop > 0, F.slice(certs, 1, stop - 1)).otherwise(certs)
-    stop_flag = F.when(stop > 0, F.element_at(flags, stop.cast("int")))
-    leaf = F.try_element_at(walked, F.lit(1))
-    root = _last(F.filter(walked, lambda c: F.coalesce(c["is_root"], F.lit(False))))
-    exts = F.flatten(F.transform(walked, lambda c: F.coalesce(c["extensions"], F.array())))
-    with_value = F.filter(exts, lambda e: e["value"].isNotNull())
-    san = _last(F.filter(with_value, lambda e: e["name"] == SAN))["value"]
-    san_items = F.split(san, ",")
-    dns_names = F.transform(F.filter(san_items, lambda x: x.contains("DNS:")),
-                            lambda x: F.split(F.element_at(F.split(x, "DNS:"), 2), r"\."))
-    slds = F.transform(F.filter(dns_names, lambda p: F.size(p) >= 2), lambda p: F.element_at(p, -2))
+_HELPERS = ("_certs", "_flags", "_stop", "_seen", "_walked", "_stop_flag", "_leaf", "_root", "_exts", "_valued", "_san", "_names", "_policy_exts", "_policies")
+
+
+def with_walk(df: DataFrame, as_of: Column) -> DataFrame:
+    """The chain walk, evaluated once per record: every step is a column of a projection of its
+    own, which the features then only refer to."""
+    certs, walked = F.col("_certs"), F.col("_walked")
+    df = df.withColumn("_certs", F.coalesce(F.col("tls.certificates"), F.array()))
+    df = df.withColumn("_flags", F.transform(certs, lambda c: F.when(validity_days(c) < 0, F.lit(1))
+                                             .when(days_to_expiry(c, as_of) < 0, F.lit(2)).otherwise(F.lit(0))))
+    # 1-based place of the first broken or expired certificate, 0 = none
+    df = df.withColumn("_stop", F.array_position(F.transform("_flags", lambda f: f > 0), True))
+    df = df.withColumns({
+        "_seen": F.when(F.col("_stop") > 0, F.col("_stop")).otherwise(F.size(certs)),  # visited, incl. the stopping one
+        "_walked": F.when(F.col("_stop") > 0, F.slice(certs, F.lit(1), F.col("_stop").cast("int") - 1)).otherwise(certs),
+        "_stop_flag": F.when(F.col("_stop") > 0, F.element_at("_flags", F.col("_stop").cast("int"))),
+    })
+    df = df.withColumns({
+        "_leaf": F.try_element_at(walked, F.lit(1)),
+        "_root": _last(F.filter(walked, lambda c: F.coalesce(c["is_root"], F.lit(False)))),
+        "_exts": F.flatten(F.transform(walked, lambda c: F.coalesce(c["extensions"], F.array()))),
+    })
+    df = df.withColumn("_valued", F.filter("_exts", lambda e: e["value"].isNotNull()))
+    df = df.withColumns({
+        "_san": F.split(_last(F.filter("_valued", lambda e: e["name"] == SAN))["value"], ","),
+        "_policy_exts": F.filter("_valued", lambda e: e["name"] == POLICIES),
+    })
+    return df.withColumns({
+        "_names": F.transform(F.filter("_san", lambda x: x.contains("DNS:")), lambda x: F.split(F.element_at(F.split(x, "DNS:"), 2), r"\.")),
+        "_policies": F.filter(F.flatten(F.transform("_policy_exts", lambda e: F.transform(
+            F.split(e["value"], ","), lambda x: F.substring_index(x, "\n", 1)))), lambda x: x.startswith("Policy:")),
+    })
+
+
+def tls_columns() -> dict[str, Column]:
+    """Features over the columns of ``with_walk``."""
+    tls, certs, n_seen, walked, stop_flag = F.col("tls"), F.col("_certs"), F.col("_seen"), F.col("_walked"), F.col("_stop_flag")
+    leaf, root, exts, with_value = F.col("_leaf"), F.col("_root"), F.col("_exts"), F.col("_valued")
+    san_items, pol_exts, policies = F.col("_san"), F.col("_policy_exts"), F.col("_policies")
+    san = san_items
+    slds = F.transform(F.filter("_names", lambda p: F.size(p) >= 2), lambda p: F.element_at(p, -2))
     eku_items = F.flatten(F.transform(F.filter(with_value, lambda e: e["name"] == EKU),
                                       lambda e: F.split(e["value"], ", ")))
-    pol_exts = F.filter(with_value, lambda e: e["name"] == POLICIES)
-    policies = F.filter(F.flatten(F.transform(pol_exts, lambda e: F.transform(
-        F.split(e["value"], ","), lambda x: F.substring_index(x, "\n", 1)))), lambda x: x.startswith("Policy:"))
     x509 = F.filter(policies, lambda x: x.contains("X509v3"))
     iso = F.filter(policies, lambda x: ~x.contains("X509v3") & x.startswith("Policy: 1."))
     isoitu = F.filter(policies, lambda x: ~x.contains("X509v3") & ~x.startswith("Policy: 1.")
@@ -147,24 +167,13 @@ def tls_extra_columns(as_of: Column) -> dict[str, Column]:
     """C16 (optional, off by default as in the original): root / leaf certificate lifetime
     at ``as_of`` in days (half-even), mean validity of the walked chain (one decimal),
     encoded ISO / joint ISO-ITU policy OIDs of the last such policy, unknown-policy count."""
-    tls = F.col("tls")
-    certs = F.coalesce(tls["certificates"], F.array())
-    flags = F.transform(certs, lambda c: F.when(validity_days(c) < 0, F.lit(1))
-                        .when(days_to_expiry(c, as_of) < 0, F.lit(2)).otherwise(F.lit(0)))
-    stop = F.array_position(F.transform(flags, lambda f: f > 0), True)
-    walked = F.when(stop > 0, F.slice(certs, 1, stop - 1)).otherwise(certs)
-    leaf = F.try_element_at(walked, F.lit(1))
-    root = _last(F.filter(walked, lambda c: F.coalesce(c["is_root"], F.lit(False))))
+    tls, certs, walked, leaf, root, pols = (F.col(c) for c in ("tls", "_certs", "_walked", "_leaf", "_root", "_policies"))
 
     def lifetime(c):
         return F.when(c.isNull(), F.lit(-1)).otherwise(F.bround(
             (F.unix_micros(as_of) - F.unix_micros(c["validity_start"])).cast("double") / 86400e6, 0)).cast("long")
     n = F.size(walked)
     total = F.aggregate(walked, F.lit(0).cast("long"), lambda a, c: a + validity_days(c))
-    pols = F.filter(F.flatten(F.transform(F.filter(F.flatten(F.transform(walked, lambda c: F.coalesce(
-        c["extensions"], F.array()))), lambda e: (e["name"] == POLICIES) & e["value"].isNotNull()),
-        lambda e: F.transform(F.split(e["value"], ","), lambda x: F.substring_index(x, "\n", 1)))),
-        lambda x: x.startswith("Policy:"))
     iso = F.filter(pols, lambda x: ~x.contains("X509v3") & x.startswith("Policy: 1."))
     isoitu = F.filter(pols, lambda x: ~x.contains("X509v3") & ~x.startswith("Policy: 1.")
                       & x.startswith("Policy: 2."))
@@ -186,7 +195,7 @@ def tls_features(df: DataFrame, as_of: Column | None = None, extras: bool = Fals
     """Replace ``tls`` by its features; ``as_of`` defaults to today's midnight (pass it for
     reproducible runs).  ``extras`` adds the optional C16 columns."""
     as_of = as_of if as_of is not None else C.midnight()
-    cols = tls_columns(as_of)
+    cols = tls_columns()
     if extras:
         cols.update(tls_extra_columns(as_of))
-    return df.withColumns(cols).drop("tls")
+    return with_walk(df, as_of).withColumns(cols).drop("tls", *_HELPERS)
