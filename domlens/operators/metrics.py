@@ -55,11 +55,11 @@ def per_class_report(conf: DataFrame) -> DataFrame:
     """A11 from a confusion table (label, prediction, n): per class precision / recall /
     f1 / support, then ``macro avg`` and ``weighted avg`` rows (classes with no
     prediction get precision 0, as the default zero_division does)."""
-    tp = conf.filter(F.col("label") == F.col("prediction")).groupBy(F.col("label").alias("cls")) \
-        .agg(F.sum("n").alias("tp"))
-    support = conf.groupBy(F.col("label").alias("cls")).agg(F.sum("n").alias("support"))
-    predicted = conf.groupBy(F.col("prediction").alias("cls")).agg(F.sum("n").alias("predicted"))
-    per = support.join(predicted, "cls", "full").join(tp, "cls", "left").fillna(0, ["tp", "support", "predicted"])
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
+    roles = F.array(F.struct(F.col("label").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"), hit.alias("tp")),
+                    F.struct(F.col("prediction").alias("cls"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"), F.lit(0).cast("long").alias("tp")))
+    cells = conf.select(F.explode(roles).alias("r")).select("r.*").filter("cls is not null")
+    per = cells.groupBy("cls").agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     per = per.select(
         F.col("cls").cast("string").alias("class"),
         _div(F.col("tp"), F.col("predicted")).alias("precision"),
@@ -67,17 +67,12 @@ def per_class_report(conf: DataFrame) -> DataFrame:
         _div(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
         F.col("support").cast("long").alias("support"),
     )
-    avgs = per.agg(
-        F.avg("precision").alias("m_p"), F.avg("recall").alias("m_r"), F.avg("f1").alias("m_f"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("w_p"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("w_r"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("w_f"),
-        F.sum("support").cast("long").alias("s"))
-    macro = avgs.select(F.lit("macro avg").alias("class"), F.col("m_p").alias("precision"),
-                        F.col("m_r").alias("recall"), F.col("m_f").alias("f1"), F.col("s").alias("support"))
-    weighted = avgs.select(F.lit("weighted avg").alias("class"), F.col("w_p").alias("precision"),
-                           F.col("w_r").alias("recall"), F.col("w_f").alias("f1"), F.col("s").alias("support"))
-    return per.unionByName(macro).unionByName(weighted)
+    # every class is a row of its own and has a part in both averages: one small table, read once
+    rows = per.select(F.explode(F.array(F.struct(F.col("class"), F.lit(1.0).alias("w")), F.struct(F.lit("macro avg").alias("class"), F.lit(1.0).alias("w")),
+                                        F.struct(F.lit("weighted avg").alias("class"), F.col("support").cast("double").alias("w")))).alias("k"), "precision", "recall", "f1", "support")
+    weight = F.col("k.w")
+    return rows.groupBy(F.col("k.class").alias("class")).agg(
+        *[(F.sum(F.col(c) * weight) / F.sum(weight)).alias(c) for c in ("precision", "recall", "f1")], F.sum("support").alias("support"))
 
 
 def micro_scores(conf: DataFrame) -> DataFrame:

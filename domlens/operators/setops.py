@@ -58,8 +58,9 @@ def keyed_union_fold(tables: list[DataFrame], key: str = KEY) -> DataFrame:
     tagged = reduce(DataFrame.unionByName,
                     [t.select(*cols).withColumn("_rank", F.lit(i)) for i, t in enumerate(tables)])
     best = tagged.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("_rank").alias("_rank"))
-    kept = tagged.join(best, [key, "_rank"], "left_semi")
-    return kept.unionByName(tagged.filter(F.col(key).isNull())).drop("_rank")
+    best = best.select(F.col(key).alias("_key"), F.col("_rank").alias("_best"))
+    joined = tagged.join(best, tagged[key] == best["_key"], "left")
+    return joined.filter(F.col(key).isNull() | (F.col("_rank") == F.col("_best"))).select(*cols)
 
 
 def concat_all(tables: list[DataFrame]) -> DataFrame:
@@ -87,10 +88,6 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
-def distinct_count(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.countDistinct(column).alias(f"n_distinct_{column}"))
-
-
 def lookup_copy(names: DataFrame, table: DataFrame, key: str = KEY) -> DataFrame:
     """Every table row matching a listed name, once per listing (duplicates multiply)."""
     return names.select(key).join(table, key, "inner")

@@ -59,8 +59,8 @@ def sort_verdicts(df: DataFrame) -> DataFrame:
 
 
 def filter_by_mode(df: DataFrame, mode: str) -> DataFrame:
-    """``malign`` keeps lower(trim(verdict)) = 'malign'; ``benign`` keeps everything else."""
-    is_malign = F.lower(F.trim(F.col("verdict"))) == "malign"
+    """``malign`` keeps lower(trim(verdict)) = 'malign'; ``benign`` keeps everything else (no verdict included)."""
+    is_malign = F.coalesce(F.lower(F.trim(F.col("verdict"))) == "malign", F.lit(False))
     return df.filter(is_malign if mode == "malign" else ~is_malign)
 
 
@@ -79,14 +79,14 @@ def verdict_counts(df: DataFrame) -> DataFrame:
 def with_summary_rows(df: DataFrame) -> DataFrame:
     """A3 report: the table plus 'Benign count' / 'Malign count' rows ('b/t' in the ratio column)."""
     c = verdict_counts(df)
-    blank = {k: F.lit(None).cast(t) for k, t in df.dtypes}
 
     def row(label, col):
-        cols = dict(blank)
-        cols["verdict"] = F.lit(label)
-        cols["detection_ratio"] = F.concat(F.col(col).cast("string"), F.lit("/"), F.col("total").cast("string"))
-        return c.select(*[cols[k].alias(k) for k, _ in df.dtypes])
-    return df.unionByName(row("Benign count", "benign")).unionByName(row("Malign count", "malign"))
+        cells = {k: F.lit(None).cast(t) for k, t in df.dtypes}
+        cells["verdict"] = F.lit(label)
+        cells["detection_ratio"] = F.concat(F.col(col).cast("string"), F.lit("/"), F.col("total").cast("string"))
+        return F.struct(*[cells[k].alias(k) for k, _ in df.dtypes])
+    both = c.select(F.explode(F.array(row("Benign count", "benign"), row("Malign count", "malign"))).alias("r"))
+    return df.unionByName(both.select("r.*"))
 
 
 def progress(processed: DataFrame, listed: DataFrame, key: str = "domain") -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import explain as X
 from ..operators import verdicts as V
 from .bindings import table
 from .catalog import query
@@ -81,9 +82,18 @@ UNION ALL SELECT NULL, 'Benign count', b::VARCHAR || '/' || t::VARCHAR, NULL, NU
 UNION ALL SELECT NULL, 'Malign count', m::VARCHAR || '/' || t::VARCHAR, NULL, NULL, NULL, NULL, NULL FROM c
 """)
 def report_with_summary(spark, sf_dir):
-    """A3 / V4: the report table with the two summary rows appended."""
+    """A3: the report table with the two summary rows appended."""
     v = verdict_table(spark, sf_dir).select(*[c.strip() for c in _REPORT_COLS.split(",")])
-    return V.with_summary_rows(V.sort_verdicts(v))
+    return V.with_summary_rows(v)
+
+
+@query("V4_sorted_verdicts", f"""
+SELECT row_number() OVER (ORDER BY verdict DESC NULLS LAST, live_status DESC NULLS LAST, event_id) AS place, event_id, verdict, live_status FROM ({SQL_VERDICTS})
+""")
+def sorted_verdicts(spark, sf_dir):
+    """V4: the verdict table sorted by verdict and live status, both descending, with places."""
+    v = verdict_table(spark, sf_dir).select("event_id", "verdict", "live_status")
+    return X.sorted_places(v, [F.col("verdict").desc_nulls_last(), F.col("live_status").desc_nulls_last(), F.col("event_id").asc()])
 
 
 @query("F3_filter_malign", f"SELECT domain, event_id FROM ({SQL_VERDICTS}) WHERE lower(trim(verdict)) = 'malign'")
@@ -92,7 +102,7 @@ def filter_malign(spark, sf_dir):
     return V.filter_by_mode(verdict_table(spark, sf_dir), "malign").select("domain", "event_id")
 
 
-@query("F3_filter_benign", f"SELECT domain, event_id FROM ({SQL_VERDICTS}) WHERE lower(trim(verdict)) <> 'malign'")
+@query("F3_filter_benign", f"SELECT domain, event_id FROM ({SQL_VERDICTS}) WHERE coalesce(lower(trim(verdict)) <> 'malign', true)")
 def filter_benign(spark, sf_dir):
     """F3 (mode benign): every other domain."""
     return V.filter_by_mode(verdict_table(spark, sf_dir), "benign").select("domain", "event_id")

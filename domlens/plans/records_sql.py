@@ -7,7 +7,8 @@ counterpart in ``domlens.operators``.
 from __future__ import annotations
 
 from ..operators.dns import TXT_VERIFIERS
-from ..operators.geo import MALICIOUS_HOSTING_COUNTRY_IDS, continent_of, country_ids
+from ..functions.countries import COUNTRY_IDS
+from ..operators.geo import MALICIOUS_HOSTING_COUNTRY_IDS, continent_of
 from ..operators.tls import TLS_CIPHER_IDS, TLS_VERSION_IDS
 from . import oracle as O
 from .records import AS_OF, CIPHERS, NATION_COUNTRIES
@@ -317,9 +318,9 @@ def geo_sql() -> list[tuple[str, str]]:
     lons = f"list_transform({kept}, lambda e: e.geo.longitude)"
     none = f"(ip_data IS NULL OR len({countries}) = 0)"
     cont = f"list_distinct(list_transform({countries}, lambda c: {case_map('c', continent_of(), '0')}))"
-    known = f"list_transform({countries}, lambda c: {case_map('c', country_ids())})"
-    ids = f"list_sort(list_distinct(list_transform({countries}, lambda c: {case_map('c', country_ids(), '300')})))"
-    limit = len(country_ids())
+    known = f"list_transform({countries}, lambda c: {case_map('c', COUNTRY_IDS)})"
+    ids = f"list_sort(list_distinct(list_transform({countries}, lambda c: {case_map('c', COUNTRY_IDS, '300')})))"
+    limit = len(COUNTRY_IDS)
     p = 2147483647
     step = (f"CASE WHEN acc.o OR acc.h + x > {limit} THEN struct_pack(o := true, h := ((acc.h + x) * 2) % {p}) "
             f"ELSE struct_pack(o := false, h := acc.h + x) END")

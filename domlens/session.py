@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job wants: adaptive re-planning (partition coalescing, skew-join
@@ -40,14 +41,21 @@ def get_session(app: str = "domlens", master: str | None = None, **conf: str) ->
         # respect what the cluster set; only pin the wall clock used by date features
         active.conf.set("spark.sql.session.timeZone", "UTC")
         return active
+    wanted = dict(_DEFAULTS)
+    if master and master.startswith("local"):
+        wanted["spark.driver.memory"] = "12g"  # local mode: the driver JVM is the only executor
+    wanted.update(conf)
+    own = SparkConf(loadDefaults=False)
+    for k, v in wanted.items():
+        own.set(k, v)
+    SparkContext._ensure_initialized(conf=own)  # starts the JVM unless spark-submit has
+    given = {k for k, _ in SparkConf().getAll()} - set(conf)  # what spark-submit or the cluster's defaults set
     builder = SparkSession.builder.appName(app)
-    extra = {}
     if master:
         builder = builder.master(master)
-        if master.startswith("local"):
-            extra["spark.driver.memory"] = "12g"  # local mode: the driver JVM is the only executor
-    for k, v in {**_DEFAULTS, **extra, **conf}.items():
-        builder = builder.config(k, v)
+    for k, v in wanted.items():
+        if k not in given:
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -57,14 +65,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and stage snapshots.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared file system
-    there).  Only when it is unset -- local tests -- fall back to a fresh
-    folder under ``/tmp``; on a cluster that fallback is never taken.
+    there).  Only when it is unset and the master is local -- tests -- fall back to a
+    fresh folder under ``/tmp``; on a cluster an unset folder is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not root:
         root = sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = os.path.join("/tmp", f"domlens-ckpt-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", root)
     if sc.getCheckpointDir() is None:

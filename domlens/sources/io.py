@@ -6,6 +6,7 @@ object store, shared POSIX); nothing is staged on the driver.
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.prep import evaluated_only, project_documents
 from ..schema import DOMAIN_DDL, RAW_DOMAIN_DDL
 
+LOG = logging.getLogger(__name__)
 CACHE_MODES = ("auto", "force-refresh", "force-local")
 
 
@@ -63,7 +65,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def cached_source(spark: SparkSession, name: str, build: Callable[[], DataFrame], cache_root: str,
                   mode: str = "auto") -> DataFrame:
-    """Read ``{cache_root}/{name}`` if cached, else build, write and read back.
+    """Read ``{cache_root}/{name}`` if cached whole (its writer left ``_SUCCESS``), else build,
+    write and read back.
 
     ``force-refresh`` always rebuilds; ``force-local`` and ``auto`` use the cache when
     present (``auto`` has no staleness check, as in the original); an unknown mode
@@ -72,7 +75,7 @@ def cached_source(spark: SparkSession, name: str, build: Callable[[], DataFrame]
     if mode not in CACHE_MODES:
         mode = "auto"
     path = table_path(cache_root, name)
-    if mode != "force-refresh" and path_exists(spark, path):
+    if mode != "force-refresh" and path_exists(spark, f"{path}/_SUCCESS"):
         return spark.read.parquet(path)
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -81,15 +84,15 @@ def cached_source(spark: SparkSession, name: str, build: Callable[[], DataFrame]
 # ---------------------------------------------------------------- S6
 def load_datasets(spark: SparkSession, specs: dict[str, str], loader: Callable[[SparkSession, str], DataFrame]
                   ) -> dict[str, DataFrame]:
-    """Label -> DataFrame for every spec that loads; a failing one is skipped."""
+    """Label -> DataFrame for every spec that loads; a failing one is skipped, which is reported."""
     out = {}
     for label, path in specs.items():
         try:
             df = loader(spark, path)
             df.schema  # resolve now so a missing path fails here  # noqa: B018
             out[label] = df
-        except Exception:  # noqa: BLE001 - skipped, as the original did
-            continue
+        except Exception as e:  # noqa: BLE001 - skipped and reported, as the original did
+            LOG.warning("dataset %s (%s) is skipped: %s", label, path, str(e).splitlines()[0])
     return out
 
 
