@@ -184,22 +184,28 @@ def best_flags(spark, sf_dir):
     return M.best_flags(summ)
 
 
+_M12_LONG = " UNION ALL ".join(f"SELECT '{name}' AS classifier, quality, {name} AS pred, {sql_split_hash('doc_id', '42')} < {TEST_FRACTION} AS held_out FROM ({SQL_SCORED})" for name in CLASSIFIERS)
+
+
 @query("M12_weighted_score", f"""
-SELECT classifier, accuracy, precision, recall, f1, fpr,
-       0.1 * precision + 0.2 * recall + 0.6 * f1 + 0.0 * fpr - 0.1 * 0.0 AS weighted_score
-FROM ({_metrics_sql("SELECT c.classifier, " + _bin_sql("c.pred") + " FROM (" + " UNION ALL ".join(
-        f"SELECT '{name}' AS classifier, quality, {name} AS pred FROM ({SQL_SCORED})" for name in CLASSIFIERS)
-    + ") c GROUP BY c.classifier")})
+WITH c AS ({_M12_LONG}),
+t AS (SELECT classifier, avg((quality = pred)::INTEGER) AS train_accuracy FROM c WHERE NOT held_out GROUP BY 1),
+m AS ({_metrics_sql("SELECT classifier, " + _bin_sql("pred") + " FROM c WHERE held_out GROUP BY classifier")})
+SELECT classifier, accuracy, train_accuracy, precision, recall, f1, fpr,
+       0.1 * precision + 0.2 * recall + 0.6 * f1 + 0.0 * fpr - 0.1 * (train_accuracy - accuracy) AS weighted_score
+FROM m JOIN t USING (classifier)
 """)
 def custom_score(spark, sf_dir):
-    """The weighted selection score (0.1 P + 0.2 R + 0.6 F1 + 0 FPR - 0.1 overfit) per rule."""
-    s = scored(spark, sf_dir)
-    long = s.select("quality", F.explode(F.array(*[
+    """The weighted selection score (0.1 P + 0.2 R + 0.6 F1 + 0 FPR - 0.1 overfit) per rule on the
+    held-out part, overfit being the accuracy on the training part less that on the held-out part."""
+    s = scored(spark, sf_dir).withColumn("held_out", split_hash("doc_id", 42) < TEST_FRACTION)
+    long = s.select("quality", "held_out", F.explode(F.array(*[
         F.struct(F.lit(n).alias("classifier"), F.col(n).alias("pred")) for n in CLASSIFIERS])).alias("c")) \
-        .select("quality", "c.classifier", "c.pred")
-    m = M.binary_metrics(M.binary_counts(long, "quality", "pred", 1, "classifier"))
-    return M.weighted_score(m).select("classifier", "accuracy", "precision", "recall", "f1", "fpr",
-                                      "weighted_score")
+        .select("quality", "held_out", "c.classifier", "c.pred")
+    both = M.binary_metrics(M.binary_counts(long, "quality", "pred", 1, "classifier", "held_out"))
+    train = both.filter(~F.col("held_out")).select("classifier", F.col("accuracy").alias("train_accuracy"))
+    m = M.weighted_score(both.filter("held_out").join(train, "classifier"), "train_accuracy")
+    return m.select("classifier", "accuracy", "train_accuracy", "precision", "recall", "f1", "fpr", "weighted_score")
 
 
 # ---------------------------------------------------------------- A18 class balance
