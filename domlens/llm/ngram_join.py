@@ -5,36 +5,41 @@ Two sets with Jaccard similarity t or more share an n-gram among the first
 ordered rare first, by classes of their measured frequency and then by hash, so that passages which
 many documents share come last. Documents meet on n-grams of their prefixes; a pair is passed by
 the length filter, the positional filter (what the places of the shared n-gram leave possible) and
-the suffix filter (a lower bound on the Hamming distance from counts per section of the order), and
-is then verified, once, on the whole sets.
+the suffix filter (a lower bound on the Hamming distance: each section of the hashes that holds an
+odd number of one set's n-grams and an even number of the other's has one that they don't share),
+all inside the join, and is then verified, once, on the whole sets.
 
 Only the classes are asked for, so a pair whose ends are already known to be linked needs no
-verification. Each round compares every document with one leader of each n-gram that it meets
-others on, which is linear in the prefixes; documents of large groups of near copies come to be
-linked in a few rounds. The last round takes all pairs that are left: those which meet on some
-n-gram but don't yet have the same class. No pair is left out, and none inside a class is made.
+verification. On n-grams that many documents of different classes meet on, rounds compare every
+document with a few leaders only, which is linear in the prefixes and soon links large groups of
+near copies. The last round takes all pairs that are left, on all n-grams. No pair is left out, and
+none inside a class is made.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, slices, utf8, written
+from .common import free_shuffles, narrow, slices, utf8, written
 from .words import shingles, words
 
 FREQUENCY_BITS = 21  # the frequency sketch has 2 ** FREQUENCY_BITS classes, one byte each
 SEEN = 3             # repeats inside a task from which an n-gram counts as frequent there
-SECTIONS = 32        # of the suffix filter
-ROUNDS = 3           # of leaders, before all pairs that are left
+PARTS = ["p0", "p1", "p2", "p3"]  # of the suffix filter: 64 sections each
+WIDE = 32            # parts of the second suffix filter, which tells larger sets apart
+SLICE = 1 << 20      # bytes of text hashed at once
+LEADERS = 3          # of an n-gram in a round
+WORK = 32            # documents outside an n-gram's largest class from which on leaders are tried first
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("prefix", pa.list_(pa.int64())), ("sections", pa.binary())])
-_GRAMS = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("prefix", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in PARTS] + [("wide", pa.list_(pa.int64()))])
+_GRAMS = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -60,14 +65,14 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
             np.maximum.at(most, at, times)
             return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(most)], names=["slot", "times"])
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             for grams in _sets(batch, n):
                 key = hash(grams.tobytes())
                 if key not in seen:
                     seen.add(key)
                     held.append(grams)
                     size += len(grams)
-            if size > 6_000_000:
+            if size > 3_000_000:
                 yield slots()
                 held, size = [], 0
                 seen.clear()
@@ -88,13 +93,14 @@ def ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def document_sets(texts: DataFrame, n: int, threshold: Fraction, classes) -> DataFrame:
-    """(doc_id, n: set size, digest, digest2 of the set, prefix, sections): one row per document.
-    ``sections`` counts the set's n-grams by SECTIONS of their hash (255: that or more)."""
+    """(doc_id, n: set size, digest, digest2 of the set, prefix, p0 to p3): one row per document. A
+    bit of p0 to p3 is set if a section of the hashes holds an odd number of the set's n-grams, and
+    so is one of ``wide``, which has more and narrower sections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.frombuffer(classes.value, np.uint8)
-        for batch in slices(batches, "text"):
-            size, one, two, prefix, sections = [], [], [], [], []
+        for batch in slices(batches, "text", SLICE):
+            size, one, two, prefix, odd, wide = [], [], [], [], [], []
             for grams in _sets(batch, n):
                 order = ordered(grams, kinds)
                 count = len(order)
@@ -103,10 +109,17 @@ def document_sets(texts: DataFrame, n: int, threshold: Fraction, classes) -> Dat
                 one.append(int((grams * weight).sum().astype(np.int64)))
                 two.append(int(((grams >> np.uint64(7)) * (weight * weight + grams)).sum().astype(np.int64)))
                 prefix.append(order[:count - _ceil(threshold * count) + 1] if count else order)
-                sections.append(np.minimum(np.bincount((grams & np.uint64(SECTIONS - 1)).astype(np.int64), minlength=SECTIONS), 255).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(prefix, _SETS.field("prefix").type), pa.array(sections, pa.binary())], schema=_SETS)
+                odd.append(_parity(grams, len(PARTS)))
+                wide.append(_parity(grams, WIDE))
+            odd = np.array(odd, np.int64).reshape(-1, len(PARTS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, one, two)), pa.array(prefix, _SETS.field("prefix").type), *(pa.array(odd[:, k]) for k in range(len(PARTS))), pa.array(wide, _SETS.field("wide").type)], schema=_SETS)
 
-    return texts.mapInArrow(run, "doc_id long, n long, digest long, digest2 long, prefix array<long>, sections binary")
+    return texts.mapInArrow(run, "doc_id long, n long, digest long, digest2 long, prefix array<long>, p0 long, p1 long, p2 long, p3 long, wide array<long>")
+
+
+def _parity(grams: np.ndarray, parts: int) -> np.ndarray:
+    sections = np.bincount((grams & np.uint64(64 * parts - 1)).astype(np.int64), minlength=64 * parts)
+    return np.packbits(sections & 1).view(np.int64)
 
 
 def _ceil(x: Fraction) -> int:
@@ -114,57 +127,43 @@ def _ceil(x: Fraction) -> int:
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams: sorted 64-bit hashes) of the documents to verify."""
+    """(doc_id, grams: 64-bit hashes) of the documents to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.tobytes() for g in _sets(batch, n)], pa.binary())], schema=_GRAMS)
-
-    return texts.mapInArrow(run, "doc_id long, grams binary")
-
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.astype(np.int64) for g in _sets(batch, n)], _GRAMS.field("grams").type)], schema=_GRAMS)
 
-def _overlap(a: bytes, b: bytes) -> int:
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    return len(np.intersect1d(x, y, assume_unique=True))
+    return texts.mapInArrow(run, "doc_id long, grams array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """Of pairs (a, b), those whose whole sets reach the threshold."""
+    """Of pairs (a, b), those whose whole sets reach the threshold: both / (all - both) >= p / q."""
     p, q = threshold.numerator, threshold.denominator
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = []
-            for x, y in zip(first, second, strict=True):
-                both = _overlap(x, y)
-                keep.append(q * both >= p * ((len(x) + len(y)) // 8 - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
     x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").filter((p + q) * both >= p * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def components(links: DataFrame, name: str = "classes") -> DataFrame:
     """(doc_id, component) of every document in ``links`` (a, b): the smallest document that links
     lead to. Large and small stars by turns: every document points to the smallest one that it or
-    its neighbours know, until nothing changes; the rounds grow as the logarithm of the links."""
+    its neighbours know, until each class is one star; the rounds grow as the logarithm of the links."""
     links = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     while True:
+        # large star: larger neighbours point to the smallest one that their neighbour knows
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # large star: larger neighbours point to the smallest one that their neighbour knows
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.filter("u <> v").distinct(), name)
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = written(large.distinct(), name)
         # small star: smaller neighbours, and the document itself, point to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(least, "u")
-        small = star.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = written(small, name)
-        if not small.join(links, ["u", "v"], "left_anti").head(1) and not links.join(small, ["u", "v"], "left_anti").head(1):
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("l")).select("l.u", "l.v").filter("u <> v")
+        links = written(small.distinct(), name)
+        # done when every class is one star: no document points to two, or to one that points on
+        ends = links.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        if not ends.groupBy("u").agg(F.sum("out").alias("out"), F.sum("into").alias("into")).filter("out > 1 or out = 1 and into > 0").head(1):
             break
-        links = small
     return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc_id")
 
 
@@ -175,10 +174,9 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: s
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text after lower-casing A-Z; a text of fewer than n
     words has one n-gram, the whole sequence; null and empty texts have none and are linked with
-    nothing. Rows that repeat an id keep a row each (under an id with several texts, the one with
-    the smallest set of hashes is compared with other documents); rows with a null
-    id are linked with nothing and have a null component. Other columns are ignored; an empty table
-    gives no rows.
+    nothing. Rows that repeat an id keep a row each (an id with several texts is linked
+    with what one of them is like); rows with a null id are linked with nothing and have a null
+    component. Other columns are ignored; an empty table gives no rows.
     """
     spark, limit = docs.sparkSession, Fraction(threshold)
     p, q = limit.numerator, limit.denominator
@@ -189,61 +187,52 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: s
 
     # documents with one set are one class, which its smallest document stands for
     same = written(sets.filter("n > 0 and doc_id is not null").groupBy("digest", "digest2", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = sets.select("doc_id", "digest", "digest2", "n", "prefix", "sections").join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest", "digest2", "n"], "left_semi")
-    posts = reps.select("doc_id", "n", "sections", F.posexplode("prefix").alias("at", "gram"))
-    shared = posts.groupBy("gram").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).filter("_a <> _b").select("gram")
-    sections = written(reps.groupBy("doc_id").agg(F.min("sections").alias("sections")), "sections")
-    posts = written(posts.select("gram", "doc_id", "n", "at").join(shared, "gram"), "posts")
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Candidates (a, b, na, nb, pa, pb) by length, place, then sections; one row per pair."""
-        na, nb = F.col("na"), F.col("nb")
-        least = F.ceil((na + nb) * p / (p + q) - 1e-9)
-        place = F.least(na - F.col("pa"), nb - F.col("pb"))
-        pairs = pairs.filter((na * q >= nb * p) & (nb * q >= na * p) & (place >= least))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), least.alias("least"), (na + nb).alias("total")).distinct()
-        x = sections.select(F.col("doc_id").alias("a"), F.col("sections").alias("sa"))
-        y = sections.select(F.col("doc_id").alias("b"), F.col("sections").alias("sb"))
-        return _by_sections(pairs.join(x, "a").join(y, "b"))
+    reps = sets.select("doc_id", "digest", "digest2", "n", "prefix").join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest", "digest2", "n"], "left_semi")
+    posts = reps.select("doc_id", F.posexplode("prefix").alias("at", "gram"))
+    shared = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
+    odd = sets.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", *PARTS)).alias("s")).select("doc_id", "s.*")
+    posts = written(posts.join(shared, "gram").join(odd, "doc_id"), "posts")
+    free_shuffles(spark)
 
     tried = label = grams = None
-    for turn in range(ROUNDS + 1):
-        mine = posts if label is None else posts.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        if label is None:
-            mine = mine.withColumn("component", F.col("doc_id"))
-        if turn < ROUNDS:
-            # a leader for each n-gram whose documents have several classes, another one each turn
-            lead = mine.groupBy("gram").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("h"), "doc_id", "n", "at", "component")).alias("l"), F.min("component").alias("_x"), F.max("component").alias("_y")).filter("_x <> _y")
-            pairs = mine.join(lead.select("gram", "l"), "gram").filter("component <> l.component").select(
-                F.col("l.doc_id").alias("a"), F.col("l.n").alias("na"), F.col("l.at").alias("pa"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-        else:
-            # all that is left: documents outside an n-gram's largest class, with all of other classes
-            mine = written(mine, "labelled")
-            each = mine.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
-            top = each.groupBy("gram").agg(F.max(F.struct("c", "component")).alias("t"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("gram", F.col("t.component").alias("top"))
-            mixed = mine.join(top, "gram")
-            x = mixed.filter("component <> top").select("gram", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
-            y = mixed.select(F.col("gram"), F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"), "top")
-            pairs = x.join(y, "gram").filter("ca <> cb and (cb = top or a < b)").filter((F.col("na") * q >= F.col("nb") * p) & (F.col("nb") * q >= F.col("na") * p))
-            pairs = pairs.select("a", "na", "pa", "b", "nb", "pb")
-        pairs = filtered(pairs)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.head(1):
-            if turn < ROUNDS:
-                continue
-            break
-        ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def link(pairs: DataFrame) -> bool:
+        """Verify new pairs, each once, and bring the classes up to date; whether there are new links."""
+        nonlocal tried, label, grams
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        wide = sets.select("doc_id", "n", "wide").join(written(_ends(pairs), "ends"), "doc_id", "left_semi")
+        pairs = written(_second_filter(pairs, wide, p, q), "pairs")
+        ends = _ends(pairs)
         if grams is not None:
             ends = ends.join(grams.select("doc_id"), "doc_id", "left_anti")
-        fresh = whole_sets(texts.join(written(ends, "ends"), "doc_id", "left_semi"), n)
-        fresh = written(fresh.groupBy("doc_id").agg(F.min("grams").alias("grams")), "grams")
+        fresh = written(whole_sets(texts.join(written(ends, "ends"), "doc_id", "left_semi"), n), "grams")
         grams = fresh if grams is None else grams.union(fresh)
-        new = written(similar(pairs, grams, limit), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        if new.head(1):  # the classes so far, as links, with the new links
-            label = written(components(new if label is None else label.toDF("a", "b").union(new)), "label")
+        new = written(similar(pairs, grams, limit).distinct(), "links")
+        if not new.head(1):
+            return False
+        label = components(new if label is None else label.toDF("a", "b").union(new))
+        free_shuffles(spark)
+        return True
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        if label is None:
+            return rows.withColumn("component", F.col("doc_id"))
+        return rows.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+
+    # documents of n-grams with many pairs are linked through leaders as long as that halves the pairs
+    crowd, turn, before = posts, 0, math.inf
+    while True:
+        top = _largest(labelled(crowd)).filter(F.col("m") - F.col("t.c") > WORK)
+        left = top.agg(F.sum((F.col("m") - F.col("t.c")) * F.col("m"))).first()[0]
+        if not left or left > before / 2:
+            break
+        crowd = written(crowd.join(top.select("gram"), "gram"), "crowd")
+        if not link(_with_leaders(labelled(crowd), turn, p, q).distinct()):
+            break
+        turn, before = turn + 1, left
+    mine = labelled(posts)
+    link(_remaining(mine, _largest(mine).filter("t.c < m"), p, q).distinct())
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest", "digest2", "n")
     if label is not None:
         same = same.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
@@ -251,20 +240,49 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: s
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
 
 
-def _by_sections(pairs: DataFrame) -> DataFrame:
-    """Suffix filter: of sets that share enough, the counts of the sections differ by no more than
-    the n-grams that they don't share."""
+def _possible(p: int, q: int) -> Column:
+    """Length, positional and suffix filter of candidates x and y."""
+    nx, ny = F.col("x.n"), F.col("y.n")
+    least = F.ceil((nx + ny) * p / (p + q) - 1e-9)
+    apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARTS), F.lit(0))
+    return (nx * q >= ny * p) & (ny * q >= nx * p) & (F.least(nx - F.col("x.at"), ny - F.col("y.at")) >= least) & (nx + ny - 2 * least >= apart)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, _ = utf8(batch.column("sa"))
-            y, _ = utf8(batch.column("sb"))
-            x, y = x.reshape(-1, SECTIONS).astype(np.int16), y.reshape(-1, SECTIONS).astype(np.int16)
-            apart = np.abs(x - y).sum(1)
-            apart[((x == 255) | (y == 255)).any(1)] = 0  # counts that were cut say nothing
-            total, least = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("total", "least"))
-            yield batch.select(["a", "b"]).filter(pa.array(total - 2 * least >= apart))
-
-    return pairs.select("a", "b", "total", "least", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
+def _second_filter(pairs: DataFrame, wide: DataFrame, p: int, q: int) -> DataFrame:
+    """Suffix filter of pairs (a, b) with narrower sections (doc_id, n, wide)."""
+    x = wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+    y = wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+    both = F.col("na") + F.col("nb")
+    apart = F.aggregate(F.zip_with("x", "y", lambda s, t: F.bit_count(s.bitwiseXOR(t))), F.lit(0), lambda s, t: s + t)
+    return pairs.join(x, "a").join(y, "b").filter(both - 2 * F.ceil(both * p / (p + q) - 1e-9) >= apart).select("a", "b").distinct()
+
+
+def _pair() -> list[Column]:
+    return [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
+
+
+def _largest(rows: DataFrame) -> DataFrame:
+    """For each n-gram its documents (m) and its largest class (t: c documents, component)."""
+    each = rows.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy("gram").agg(F.sum("c").alias("m"), F.max(F.struct("c", "component")).alias("t"))
+
+
+def _with_leaders(mixed: DataFrame, turn: int, p: int, q: int) -> DataFrame:
+    """Candidates of every document with LEADERS documents of each n-gram, others each turn."""
+    one = ["doc_id", "n", "at", "component", *PARTS]
+    lead = mixed.groupBy("gram").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("component", F.lit(LEADERS * turn + k)).alias("h"), *one)).dropFields("h") for k in range(LEADERS)])).alias("l"))
+    lead = lead.select("gram", F.explode("l").alias("l")).select("gram", "l.*")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _possible(p, q)
+    return mixed.alias("x").join(lead.alias("y"), on).select(*_pair())
+
+
+def _remaining(mixed: DataFrame, top: DataFrame, p: int, q: int) -> DataFrame:
+    """All candidates that are left: documents outside an n-gram's largest class, with those of all
+    other classes, each pair from one side."""
+    both = mixed.join(top.select("gram", F.col("t.component").alias("top")), "gram")
+    on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.top")) | (F.col("x.doc_id") < F.col("y.doc_id"))) & _possible(p, q)
+    return both.filter("component <> top").alias("x").join(both.alias("y"), on).select(*_pair())

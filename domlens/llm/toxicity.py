@@ -22,6 +22,7 @@ SAMPLE = 20_000    # labelled documents that the classifier is fitted on at most
 FEATURES = 2_048   # words and beginnings of words with weights, the best by chi-square
 LEAST, CHI = 5, 30.0  # documents of the sample that a feature must be in, and its least chi-square
 PREFIXES = (4, 5, 6, 7, 8)  # bytes
+SLICE = 1 << 20    # bytes of text hashed at once
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -139,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in batches:
             mine = batch.filter(pa.array([d in chosen.value for d in batch.column("doc_id").to_pylist()]))
-            for part in slices(iter([mine]), "text"):
+            for part in slices(iter([mine]), "text", SLICE):
                 yield [chosen.value[d] for d in part.column("doc_id").to_pylist()], *features(*utf8(part.column("text")))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             score, worst, most = shared.value.score(*utf8(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score), pa.array(worst), pa.array(np.where(worst < 0, 0, most))], schema=_SCORES)
 
