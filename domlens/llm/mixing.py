@@ -85,7 +85,7 @@ def _place_large(group: pd.DataFrame) -> pd.DataFrame:
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, seed: int = SEED,
                 id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every document.
+    """(doc_id, source, size, source_size, target, copies, taken, whole, large) of every document.
 
     A document's expected copies are target / source_size. Their whole part is certain for every
     document; for the rest, documents are ranked by Pareto order sampling, i.e. by the odds of a
@@ -117,7 +117,22 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CA
     small = small.withColumn("q", F.when(F.col("size") > 0, _odds(_uniform(seed)) / _odds(share)).otherwise(F.lit(float("inf")))).drop("_source", "_taken", "_large")
     placed = running_totals(small, [F.col("q"), F.col("doc_id"), F.col("size")], ["size"], group="source")
     placed = placed.withColumn("taken_more", F.col("before_size") + F.col("size") / 2 <= F.col("need"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "taken_more"]
-    out = placed.select(*columns).unionByName(ranked.select(*columns))
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "taken_more", "large"]
+    out = placed.withColumn("large", F.lit(False)).select(*columns).unionByName(ranked.withColumn("large", F.lit(True)).select(*columns))
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("taken_more").cast("long"), F.lit(cap).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "whole", "large")
+
+
+def rank(seed: int = SEED) -> Column:
+    """The order of a source's documents (doc_id, size) that aren't large: Pareto order, as odds of the
+    random number over odds of one inclusion for all rise with the number."""
+    return F.struct(_uniform(seed).alias("u"), "doc_id", "size")
+
+
+def cuts(mix: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """What tells the copies of any document without a row for each: (source, whole, cut), where
+    documents up to ``cut`` in ``rank`` have one copy more than ``whole``; and the large documents
+    (doc_id, source, size, copies), fewer than LARGE for a source."""
+    rows = mix.filter("size > 0")
+    small = rows.filter("not large").groupBy("source").agg(F.max("whole").alias("whole"), F.max(F.when(F.col("copies") > F.col("whole"), rank(seed))).alias("cut"))
+    return small, rows.filter("large").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
