@@ -15,7 +15,7 @@ import base64
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from .common import narrow, scratch, slices, width, written
 
 RANGE_BYTES = 8 << 20    # of an archive that one task reads
 FILE_BYTES = 256 << 20   # after which an archive is closed
-HEADER_BYTES = 1 << 16   # a longer header isn't one
+MARGIN_BYTES = 1 << 16   # read beyond a range at first; a header that is longer is read on to its end
 #: Fixed values of the format.
 MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -113,28 +113,40 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, id_col: str =
 
 # ---------------------------------------------------------------- reading
 def header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
-    """Fields of the header that begins at ``at``, and where its block begins; None if there is none."""
-    end = data.find(END, at, at + HEADER_BYTES)
-    if not data.startswith(MAGIC, at) or end < 0:
+    """Fields of the header that begins at ``at``, and where its block begins; None if there is none.
+    Raises EOFError if the data ends before that is known."""
+    if not data.startswith(MAGIC, at):
         return None
-    fields = {}
-    for line in data[at + len(MAGIC):end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, line = {}, at + len(MAGIC)
+    while (stop := data.find(b"\r\n", line)) != line:
+        if stop < 0:
+            raise EOFError
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
             return None
         fields[name.decode("utf-8", "replace").lower()] = value.decode("utf-8", "replace").strip()
+        line = stop + 2
     if not re.fullmatch(r"[0-9]{1,15}", fields.get("content-length", "")):
         return None
-    return fields, end + len(END)
+    return fields, line + 2
 
 
-def candidates(data: bytes, start: int, end: int, size: int) -> list[tuple[int, int, dict[str, str], int, int]]:
-    """Of the range [start, end) of a file of ``size`` bytes, of which ``data`` begins at ``start`` and
-    goes on for a header beyond ``end``: (place, successor, fields, block's place, its length)."""
+def candidates(data: bytes, start: int, end: int, size: int, read: Callable[[int, int], bytes]) -> list[tuple[int, int, dict[str, str], int, int]]:
+    """Of the range [start, end) of a file of ``size`` bytes, of which ``data`` begins at ``start``:
+    (place, successor, fields, block's place, its length). ``read(bytes, place)`` gets what a header
+    has beyond the data, however long it is."""
     found = []
     at = data.find(MAGIC, 0)
     while 0 <= at < end - start:
-        if parsed := header(data, at):
+        try:
+            parsed = header(data, at)
+        except EOFError:
+            have = start + len(data)
+            if have < size:
+                data += read(min(max(MARGIN_BYTES, have - end), size - have), have)
+                continue
+            parsed = None
+        if parsed:
             fields, block = parsed
             length = int(fields["content-length"])
             successor = start + block + length + len(END)
@@ -175,8 +187,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, number, start, end, size in zip(*(batch.column(c).to_pylist() for c in ("file", "range", "start", "end", "bytes")), strict=True):
             system, path = pafs.FileSystem.from_uri(file)
             with system.open_input_file(path) as f:
-                data = f.read_at(min(end + HEADER_BYTES, size) - start, start)
-                found = candidates(data, start, end, size)
+                data = f.read_at(min(end + MARGIN_BYTES, size) - start, start)
+                found = candidates(data, start, end, size, f.read_at)
                 if not found:
                     continue
                 place, successor = (np.array([c[k] for c in found], np.int64) for k in (0, 1))
@@ -228,12 +240,16 @@ _RECORD = ["file", "place", "page_id", "kind", "digest", "payload_bytes", "refer
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Records of the archives (file, bytes): (file, place, page_id, kind, digest, payload_bytes,
-    refers_to, uri, sound: whether a response's block has the digest that its header names)."""
+    refers_to, uri, sound: whether a response's block has the digest that its header names).
+    An archive whose chain of records does not reach its last byte is an error."""
     spark = files.sparkSession
     ranges = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("bytes", F.lit(1)) - 1) / range_bytes))).alias("range"))
     ranges = ranges.withColumn("start", F.col("range") * range_bytes).withColumn("end", F.least("bytes", F.col("start") + range_bytes)).repartition(width(spark), "file", "range")
     found = written(ranges.mapInArrow(_scan, "file string, range long, place long, successor long, exit long, page_id long, kind string, digest string, payload_bytes long, refers_to long, uri string, sound boolean"), "candidates")
-    entry = entries(found).withColumn("range", F.floor(F.col("place") / range_bytes)).groupBy("file", "range").agg(F.min("place").alias("entry"))
+    reached = entries(found)
+    for broken in files.filter("bytes > 0").join(reached.withColumnRenamed("place", "bytes"), ["file", "bytes"], "left_anti").head(1):
+        raise RuntimeError(f"{broken['file']}: the records' chain ends before the last of its {broken['bytes']} bytes")
+    entry = reached.withColumn("range", F.floor(F.col("place") / range_bytes)).groupBy("file", "range").agg(F.min("place").alias("entry"))
     return found.join(entry, ["file", "range"]).groupBy("file", "range").applyInArrow(
         _on_chain, "file string, place long, page_id long, kind string, digest string, payload_bytes long, refers_to long, uri string, sound boolean")
 

@@ -212,6 +212,32 @@ def test_archives(spark, monkeypatch):
     assert warc.archive_roundtrip(df.limit(0)).collect() == []
 
 
+def test_archives_with_long_urls(spark):
+    urls = {k: f"http://h/{k}" + "x" * (300_000 if k % 4 == 0 else 65_536 if k % 4 == 1 else 0) for k in range(24)}
+    rows = [(k, u, f"<p>{k}</p>" + "WARC/1.1\r\na: no end" * (k % 3)) for k, u in urls.items()]
+    path = scratch(spark, "warc-test")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"{path}/data").write.parquet(f"{path}/files")
+    files = spark.read.parquet(f"{path}/files")
+    for size in (50_000, 1 << 20):
+        got = warc.read_archives(files, size).collect()
+        assert sorted((r["page_id"], r["uri"], r["payload_bytes"], r["sound"]) for r in got) == sorted((k, u, len(h), True) for k, u, h in rows)
+
+
+def test_archives_that_break_off(spark):
+    path = scratch(spark, "warc-test")
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>" * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    [(file, size)] = warc.write_archives(pages, f"{path}/data").collect()
+    name = file.removeprefix("file://")
+    with open(name, "rb") as f:
+        data = f.read()
+    with open(name, "wb") as f:
+        f.write(data.replace(b"<urn:page:10>\r\n", b"<urn:page:10>\r\nno colon\r\n"))
+        size = f.tell()
+    for length in (300, 1 << 20):
+        with pytest.raises(RuntimeError, match="chain"):
+            warc.read_archives(spark.createDataFrame([(file, size)], "file string, bytes long"), length).collect()
+
+
 # ---------------------------------------------------------------- 9
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 400), st.booleans()), max_size=2000))
