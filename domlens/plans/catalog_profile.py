@@ -75,6 +75,21 @@ def correlations(spark, sf_dir):
     return PR.correlations(li, CORR_COLUMNS)
 
 
+TLS_CORR_COLUMNS = [*TLS_FEATURES, "label_code"]
+
+
+@query("A6_feature_correlations", f"WITH f AS ({SQL_TLS_TABLE}), t AS (SELECT *, dense_rank() OVER (ORDER BY label) - 1 "
+       "AS label_code FROM f), w AS (SELECT " + ", ".join(
+           f"corr(({a})::DOUBLE, ({b})::DOUBLE) AS {a}__{b}" for i, a in enumerate(TLS_CORR_COLUMNS)
+           for b in TLS_CORR_COLUMNS[i:]) + " FROM t) " + " UNION ALL ".join(
+    f"SELECT '{x}' AS feature_a, '{y}' AS feature_b, {a}__{b} AS corr FROM w"
+    for i, a in enumerate(TLS_CORR_COLUMNS) for b in TLS_CORR_COLUMNS[i:]
+    for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])))
+def feature_correlations(spark, sf_dir):
+    """Pairwise Pearson correlation of all TLS features and the encoded label."""
+    return PR.correlations(PR.label_codes(_tls_table(spark, sf_dir), "label"), TLS_CORR_COLUMNS)
+
+
 # ---------------------------------------------------------------- L27
 _X = ["lex_consonant_ratio", "lex_hex_ratio", "lex_known_tld", "lex_subdomain_list", "lex_underscore_hyphen_count"]
 
