@@ -1,4 +1,4 @@
-"""Mixing sources to target weights by Pareto order sampling."""
+"""Mixing sources to target weights by Pareto order sampling with equal odds within a source."""
 
 from __future__ import annotations
 
@@ -91,8 +91,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CA
     document; for the rest, documents are ranked by Pareto order sampling, i.e. by the odds of a
     random number divided by the odds of their inclusion, and the first ones up to the source's
     fixed size, counted in words, get one copy more. Documents over 1/LARGE of their source (fewer
-    than LARGE) are settled first; the others' inclusion is what these leave, so inclusion is
-    unequal and the words taken miss the target by half a small document at most.
+    than LARGE) are settled first; the others' inclusion is what these leave, one figure for all
+    small documents of a source, whose order is that of the random number; the words taken miss the target by half a small document at most.
 
     Random numbers come from the id and the seed: reruns agree whatever the partitioning. Null
     texts and texts without words have size 0 and take nothing; a null source is a source and
