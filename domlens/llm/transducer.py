@@ -8,9 +8,9 @@ trie, the count so far, and the token that ends there or, deeper in the trie, wh
 below the node may follow it. As the last token of every prefix of a run is the only one that may
 follow the token before it, these items decide all later counts.
 
-Texts are cut into chunks. A chunk's state map (start state to end state and count) is found for
-many chunks in step; maps are then composed along each text, and where a chunk turns out to start
-in another state than supposed, its map gets another entry.
+Texts are cut into chunks. Many chunks are run in step, each from a supposed start state; where a
+chunk turns out to start in another state (its neighbour's end state), it is run again from that,
+until nothing changes: as many rounds as a text has chunks at worst.
 """
 
 from __future__ import annotations
