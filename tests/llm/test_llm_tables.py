@@ -352,6 +352,17 @@ def test_pipeline_stages(spark, corpus):
         assert stage.columns == docs.columns
 
 
+def test_toxic_rows_with_null_and_repeated_ids(spark, corpus):
+    docs = corpus[0]
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    scores = {r["doc_id"]: r["predicted"] for r in toxicity.score_documents(docs, model).collect()}
+    bad, good = (next((i, t) for i, t, _ in corpus[1] if scores[i] == p) for p in (1, 0))
+    odd = [(None, bad[1]), (None, good[1]), (None, None), (bad[0], good[1]), (good[0], bad[1]), (bad[0], None)]
+    more = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True)
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_toxic(spark, more, SF).collect())
+    assert got == Counter([(i, t) for i, t, _ in corpus[1] if not scores[i]] + [o for o in odd if o[1] != bad[1]])
+
+
 def test_pipeline_with_odd_rows(spark, docs, no_docs):
     for df in (docs, no_docs):
         rows = df
