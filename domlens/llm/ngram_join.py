@@ -31,6 +31,7 @@ from .common import free_shuffles, narrow, slices, utf8, written
 from .words import shingles, words
 
 FREQUENCY_BITS = 21  # the frequency sketch has 2 ** FREQUENCY_BITS classes, one byte each
+SECTION_BITS = 14    # slots of the sketch that reach the driver as one row
 SEEN = 3             # repeats inside a task from which an n-gram counts as frequent there
 PARTS = ["p0", "p1", "p2", "p3"]  # of the suffix filter: 64 sections each
 WIDE = 32            # parts of the second suffix filter, which tells larger sets apart
@@ -58,12 +59,16 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
         held, seen, size = [], set(), 0
 
         def slots() -> pa.RecordBatch:
-            grams, times = np.unique(np.concatenate(held), return_counts=True)
-            grams, times = grams[times >= SEEN], times[times >= SEEN]
-            place, at = np.unique(grams >> np.uint64(64 - FREQUENCY_BITS), return_inverse=True)
-            most = np.zeros(len(place), np.int64)
-            np.maximum.at(most, at, times)
-            return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(most)], names=["slot", "times"])
+            grams = np.concatenate(held)
+            held.clear()
+            grams.sort()  # in place: no second copy
+            first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            times = np.diff(np.append(first, len(grams)))
+            first, times = first[times >= SEEN], times[times >= SEEN]
+            slot = (grams[first] >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int32)  # ascending
+            new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else first
+            most = np.maximum.reduceat(times, new) if len(new) else times
+            return pa.RecordBatch.from_arrays([pa.array(slot[new]), pa.array(most)], names=["slot", "times"])
 
         for batch in slices(batches, "text", SLICE):
             for grams in _sets(batch, n):
@@ -74,16 +79,23 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
                     size += len(grams)
             if size > 3_000_000:
                 yield slots()
-                held, size = [], 0
+                size = 0
                 seen.clear()
         if held:
             yield slots()
 
     rows = texts.mapInArrow(count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times"))
-    found = rows.toPandas()  # one row for each slot at most
-    out = np.zeros(1 << FREQUENCY_BITS, np.uint8)
-    out[found["slot"].to_numpy(np.int64)] = np.minimum(np.log2(found["times"].to_numpy(float)).round(), 30).astype(np.uint8) + 1
-    return out
+
+    def section(group: pa.Table) -> pa.Table:
+        out = np.zeros(1 << SECTION_BITS, np.uint8)
+        out[group["slot"].to_numpy() & (len(out) - 1)] = np.minimum(np.log2(group["times"].to_numpy().astype(float)).round(), 30).astype(np.uint8) + 1
+        return pa.table({"section": pa.array([group["slot"][0].as_py() >> SECTION_BITS], pa.int32()), "kinds": pa.array([out.tobytes()], pa.binary())})
+
+    found = rows.groupBy(F.shiftright("slot", SECTION_BITS)).applyInArrow(section, "section int, kinds binary")
+    out = np.zeros((1 << (FREQUENCY_BITS - SECTION_BITS), 1 << SECTION_BITS), np.uint8)
+    for r in found.collect():  # 2 ** FREQUENCY_BITS bytes at most
+        out[r["section"]] = np.frombuffer(r["kinds"], np.uint8)
+    return out.ravel()
 
 
 def ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:

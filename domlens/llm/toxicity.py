@@ -8,7 +8,6 @@ alone, so the sentences that make a document toxic can be told afterwards.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -215,15 +214,15 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     return rows.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "worst_start", "worst_score")
 
 
-def toxic_texts(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """(text_sha256) of each text that scores ``threshold`` or more. A score depends on the text alone,
-    so this tells the rows apart whatever their ids are. Null texts are never among them."""
+def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores less than ``threshold``. A row is
+    judged by its own text, whatever its id; null texts are empty and stay. Nothing is shuffled. An
+    empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE):
-            score, _, _ = shared.value.score(*utf8(batch.column("text")))
-            texts = batch.column("text").filter(pa.array(score >= threshold)).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(t).hexdigest() for t in texts if t is not None], pa.string())], ["text_sha256"])
+        for batch in slices(batches, text_col, SLICE):
+            score, _, _ = shared.value.score(*utf8(batch.column(text_col)))
+            yield batch.filter(pa.array(score < threshold))
 
-    return narrow(docs, text=text_col).mapInArrow(run, "text_sha256 string").distinct()
+    return docs.mapInArrow(run, docs.schema)
