@@ -1,11 +1,10 @@
 """Public-suffix split of host names (L1, L2) as a Spark job.
 
-The rules table is reshaped to one row per top-level label ("tld") holding the
-normal, wildcard and exception rules below it.  Hosts join that table on their
-last label -- a broadcast hash join, because the rule list has a fixed upper
-bound (the public-suffix list is ~10k rules) that is checked before
-broadcasting -- and the longest matching rule is then picked per row with
-array expressions.  No shuffle of the host table, no Python.
+The rules are grouped to one row per last label ("tld") with the normal, wildcard and exception
+rules below it.  Hosts join that table on their last label -- Spark broadcasts it below its own
+threshold (the public list is ~10k rules), and beyond that splits a hot label's partition -- and the
+longest matching rule is then picked per row with array expressions.  No Python, and no job runs
+while the plan is built.
 """
 
 from __future__ import annotations
@@ -20,11 +19,6 @@ from .lexicon import IPV4_DOTTED
 
 RULES_PATH = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "public_suffix_rules.txt")
 
-# Upper bound on rules we are willing to broadcast (the full public list is ~10k).
-MAX_BROADCAST_RULES = 200_000
-# Up to this many rules the grouped rules become a literal map in the plan (no join).
-MAX_LITERAL_RULES = 20_000
-
 HOST_FROM_URL = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
 
 
@@ -76,45 +70,6 @@ def rules_by_tld(rules: DataFrame) -> DataFrame:
             .agg(arr("normal").alias("_normal"), arr("wildcard").alias("_wild"), arr("exception").alias("_exc")))
 
 
-_LOOKUPS: dict = {}
-
-
-def _lookup_side(rules: DataFrame):
-    """How to look rules up: a literal map (small lists), else a broadcast table (bounded
-    lists), else a plain join; plus the most labels any rule has (bounds how many suffix
-    candidates a name needs).  Memoised per session and rule-list plan, so a query that
-    splits several name columns inspects the rule list once."""
-    key = (id(rules.sparkSession), rules.semanticHash())
-    if key not in _LOOKUPS:
-        _LOOKUPS[key] = _prepare_lookup(rules)
-    return _LOOKUPS[key]
-
-
-def _prepare_lookup(rules: DataFrame):
-    by_tld = rules_by_tld(rules)
-    stats = rules.agg(F.count(F.lit(1)).alias("n"),
-                      F.max(F.size(F.split("rule", r"\."))).alias("k")).collect()[0]  # tiny table
-    max_labels = int(stats["k"] or 1) + 1  # a wildcard rule matches one label more than it spells
-    if stats["n"] <= MAX_LITERAL_RULES:
-        # the rule list is configuration of checked size: fold it into the plan as literal
-        # maps, bucketed by Spark's own hash of the TLD so a lookup scans ~16 keys, not all
-        n_keys = by_tld.count()
-        buckets = max(1, -(-n_keys // 16))
-        rows = by_tld.withColumn("_b", F.pmod(F.hash("_tld"), F.lit(buckets))).collect()
-        maps = []
-        for b in range(buckets):
-            entries = [x for r in rows if r["_b"] == b for x in (
-                F.lit(r["_tld"]),
-                F.struct(F.array(*[F.lit(v) for v in r["_normal"]]).cast("array<string>").alias("n"),
-                         F.array(*[F.lit(v) for v in r["_wild"]]).cast("array<string>").alias("w"),
-                         F.array(*[F.lit(v) for v in r["_exc"]]).cast("array<string>").alias("e")))]
-            maps.append(F.create_map(*entries) if entries else F.create_map(
-                F.lit("").cast("string"), F.struct(*[F.array().cast("array<string>").alias(k) for k in "nwe"])))
-        return ("literal", (F.array(*maps), buckets)), max_labels
-    side = F.broadcast(by_tld) if stats["n"] <= MAX_BROADCAST_RULES else by_tld
-    return ("join", side), max_labels
-
-
 def with_domain_parts(df: DataFrame, host: str, rules: DataFrame, prefix: str = "tmp_") -> DataFrame:
     """Add ``{prefix}tld`` (public suffix), ``{prefix}sld`` (registrable label) and
     ``{prefix}sub`` (subdomain) for the host column ``host``.
@@ -122,61 +77,43 @@ def with_domain_parts(df: DataFrame, host: str, rules: DataFrame, prefix: str =
     Matching follows the public-suffix algorithm: the longest matching rule wins,
     an exception rule beats every other rule and yields its parent, and a name
     whose last label is not in the list has an empty suffix (its last label is the
-    registrable label).  A bare IPv4 address is all registrable label.  The
-    candidates (last 1..K labels, K bounded by the longest rule) are unrolled into
-    plain string expressions, so the whole split runs in generated code.
+    registrable label).  A bare IPv4 address is all registrable label.
     """
-    h = F.lower(F.col(host))
-    (how, side), k_max = _lookup_side(rules)
-    tld = F.substring_index(F.coalesce(h, F.lit("")), ".", -1)
-    if how == "literal":
-        maps, buckets = side
-        entry = F.try_element_at(F.element_at(maps, (F.pmod(F.hash(tld), F.lit(buckets)) + 1).cast("int")), tld)
-        joined = df.withColumns({"_tld": tld, "_normal": entry["n"], "_wild": entry["w"], "_exc": entry["e"]})
-    else:
-        joined = df.withColumn("_tld", tld).join(side, "_tld", "left")
+    tld = F.substring_index(F.coalesce(F.lower(F.col(host)), F.lit("")), ".", -1)
+    joined = df.withColumn("_tld", tld).join(rules_by_tld(rules), "_tld", "left")
     # the suffix length is materialised once; the parts below only reference it
-    with_len = joined.withColumn("_sl", suffix_labels(F.col(host), k_max))
-    return with_len.withColumns(split_columns(F.col(host), prefix, k_max)) \
-        .drop("_tld", "_normal", "_wild", "_exc", "_sl")
+    with_len = joined.withColumn("_sl", suffix_labels(F.col(host)))
+    return with_len.withColumns(split_columns(F.col(host), prefix)).drop("_tld", "_normal", "_wild", "_exc", "_sl")
 
 
 def _label_count(host: Column) -> Column:
     return F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def suffix_labels(host: Column, k_max: int) -> Column:
-    """How many trailing labels of ``host`` form its public suffix (0 = none)."""
-    low = F.lower(host)
-    n = _label_count(host)
-    empty = F.array().cast("array<string>")
-    normal = F.coalesce(F.col("_normal"), empty)
-    wild = F.coalesce(F.col("_wild"), empty)
-    exc = F.coalesce(F.col("_exc"), empty)
-
-    def cand(k):  # last k labels, lower-cased
-        return F.substring_index(low, ".", -k)
-
-    hits, exc_hits = [], []
-    for k in range(1, k_max + 1):
-        normal_hit = F.array_contains(normal, cand(k))
-        if k >= 2:
-            normal_hit = normal_hit | F.array_contains(wild, cand(k - 1))
-        hits.append(F.when((n >= k) & normal_hit, F.lit(k)))
-        exc_hits.append(F.when((n >= k) & F.array_contains(exc, cand(k)), F.lit(k - 1)))
-    hit = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    exc_hit = F.greatest(*exc_hits) if len(exc_hits) > 1 else exc_hits[0]
-    return F.when(host.rlike(f"^{IPV4_DOTTED}$"), F.lit(0)).otherwise(F.coalesce(exc_hit, hit, F.lit(0)))
-
-
-def split_columns(host: Column, prefix: str = "tmp_", k_max: int = 6) -> dict[str, Column]:
+def _last_labels(host: Column, k: Column) -> Column:
+    return F.call_function("substring_index", host, F.lit("."), -k)
+
+
+def suffix_labels(host: Column) -> Column:
+    """How many trailing labels of ``host`` form its public suffix (0 = none), from the rules of its
+    last label.  The candidates are the last 1, 2, ... labels, as many as the host has."""
+    low, n = F.lower(host), _label_count(host)
+    candidates = F.transform(F.sequence(F.lit(1), n), lambda k: _last_labels(low, k))
+
+    def longest(rules: str, more: int) -> Column:
+        """Labels of the longest candidate that ``rules`` has, and ``more``."""
+        return F.array_max(F.transform(candidates, lambda c, i: F.when(F.array_contains(rules, c) & (i + 1 + more <= n), i + 1 + more)))
+
+    hit = F.greatest(longest("_normal", 0), longest("_wild", 1))  # a wildcard rule matches one label more than it spells
+    return F.when(host.rlike(f"^{IPV4_DOTTED}$") | F.col("_normal").isNull(), F.lit(0)).otherwise(F.coalesce(longest("_exc", -1), hit, F.lit(0)))
+
+
+def split_columns(host: Column, prefix: str = "tmp_") -> dict[str, Column]:
     """Suffix / registrable label / subdomain from the materialised ``_sl`` column."""
     n = _label_count(host)
     sl = F.col("_sl")
     is_ip = host.rlike(f"^{IPV4_DOTTED}$")
-    suffix = F.lit("")
-    for k in range(k_max, 0, -1):
-        suffix = F.when(sl == k, F.substring_index(host, ".", -k)).otherwise(suffix)
+    suffix = F.when(sl > 0, _last_labels(host, sl)).otherwise(F.lit(""))
     # the part left of the suffix (and its dot)
     rest = F.when(sl == 0, host).when(n > sl, F.substring(host, F.lit(1), F.char_length(host)
                                                            - F.char_length(suffix) - 1)).otherwise(F.lit(""))

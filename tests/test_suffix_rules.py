@@ -1,5 +1,4 @@
-"""Public-suffix split with a large rule list (hash-bucketed literal maps) and with the
-broadcast-join path."""
+"""Public-suffix split with a large rule list, with and without a broadcast."""
 
 import os
 import tempfile
@@ -35,18 +34,25 @@ def _split(spark, rules):
     return {r.domain_name: (r.tmp_tld, r.tmp_sld, r.tmp_sub) for r in out.collect()}
 
 
-def test_large_list_literal_buckets(spark, big_rules):
+def test_large_list(spark, big_rules):
     got = _split(spark, big_rules)
     for h, tld, sld, sub in HOSTS:
         assert got[h] == (tld, sld, sub), h
 
 
-def test_broadcast_join_path(spark, big_rules, monkeypatch):
-    monkeypatch.setattr(D, "MAX_LITERAL_RULES", 10)
-    D._LOOKUPS.clear()
+def test_no_broadcast(spark, big_rules):
+    """Above Spark's own threshold the rules are joined, with the same rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = _split(spark, big_rules.filter(F.lit(True)))
+        got = _split(spark, big_rules)
     finally:
-        D._LOOKUPS.clear()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     for h, tld, sld, sub in HOSTS:
         assert got[h] == (tld, sld, sub), h
+
+
+def test_odd_names(spark, rules):
+    df = spark.createDataFrame([(None,), ("",), (".",), ("com",), ("a..com",), ("A.CO.UK",)], "domain_name string")
+    out = {r.domain_name: (r.tmp_tld, r.tmp_sld, r.tmp_sub) for r in D.with_domain_parts(df, "domain_name", rules).collect()}
+    assert out[""] == ("", "", "") and out["com"] == ("com", "", "") and out["A.CO.UK"] == ("CO.UK", "A", "") and out[None][0] in ("", None)
