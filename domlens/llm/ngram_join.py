@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, narrow, slices, utf8, written
+from .common import free_shuffles, narrow, release, slices, utf8, written
 from .words import shingles, words
 
 FREQUENCY_BITS = 21  # the frequency sketch has 2 ** FREQUENCY_BITS classes, one byte each
@@ -83,6 +83,8 @@ def frequency_classes(texts: DataFrame, n: int) -> np.ndarray:
                 seen.clear()
         if held:
             yield slots()
+        seen.clear()
+        release()
 
     rows = texts.mapInArrow(count, "slot int, times long").groupBy("slot").agg(F.sum("times").alias("times"))
 
@@ -125,6 +127,7 @@ def document_sets(texts: DataFrame, n: int, threshold: Fraction, classes) -> Dat
                 wide.append(_parity(grams, WIDE))
             odd = np.array(odd, np.int64).reshape(-1, len(PARTS))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, one, two)), pa.array(prefix, _SETS.field("prefix").type), *(pa.array(odd[:, k]) for k in range(len(PARTS))), pa.array(wide, _SETS.field("wide").type)], schema=_SETS)
+        release()
 
     return texts.mapInArrow(run, "doc_id long, n long, digest long, digest2 long, prefix array<long>, p0 long, p1 long, p2 long, p3 long, wide array<long>")
 
@@ -144,6 +147,7 @@ def whole_sets(texts: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.astype(np.int64) for g in _sets(batch, n)], _GRAMS.field("grams").type)], schema=_GRAMS)
+        release()
 
     return texts.mapInArrow(run, "doc_id long, grams array<long>")
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import narrow, slices
+from .common import SLICE_BYTES, narrow, slices
 
 SPACE = "▁".encode()  # fixed value: the library's mark for a space
 
@@ -212,7 +212,7 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """One row per document, by ``output``:
 
     * pieces: (doc_id, ids, starts, ends, decoded), where starts[k] to ends[k] are the UTF-8 bytes of
@@ -223,13 +223,14 @@ def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col
 
     A character that the model spells in bytes has a span for each byte. Null and empty texts have
     no ids and decode to the empty text. Repeated rows each have their own row; other columns are
-    ignored; nothing is shuffled and each task holds a few MB of texts (or one longer text).
+    ignored; nothing is shuffled and each task holds ``slice_bytes`` of texts (or one longer text).
+    An empty table gives no rows.
     """
     shape = _SHAPES[output]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", slice_bytes):
             found = codec.encode([t or b"" for t in batch.column("text").to_pylist()])
             columns = {"doc_id": batch.column("doc_id"), "n_tokens": [len(ids) for ids, _ in found]}
             if output != "digests":

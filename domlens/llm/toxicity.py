@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, slices, utf8
+from .common import narrow, release, slices, utf8
 from .words import LOWER, hash_prefixes, hash_runs
 
 SAMPLE = 20_000    # labelled documents that the classifier is fitted on at most, the first by a hash
@@ -216,13 +216,16 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
 
 def clean_rows(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores less than ``threshold``. A row is
-    judged by its own text, whatever its id; null texts are empty and stay. Nothing is shuffled. An
-    empty table gives no rows."""
+    judged by its own text, whatever its id; null texts are empty and stay. Only texts go to Python
+    and only scores come back; nothing is shuffled. An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, SLICE):
-            score, _, _ = shared.value.score(*utf8(batch.column(text_col)))
-            yield batch.filter(pa.array(score < threshold))
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            found = [shared.value.score(*utf8(part.column("text")))[0] for part in slices(iter([batch]), "text", SLICE)]
+            yield pa.array(np.concatenate([*found, np.zeros(0)]))
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(score(F.col(f"`{text_col}`")) < threshold)
