@@ -27,30 +27,38 @@ from pyspark.sql import Window as W
 from .common import narrow, written
 
 SCALE = 1024
-LIMIT = 1 << 27        # vectors with a scaled component of this size or more take no part
-CELL, MAX_PIVOTS = 2048, 1024
+EXACT = 1 << 50        # squared scaled lengths below this go to the trees: all their products are exact in doubles
+CELL, MAX_PIVOTS = 2048, 8192
 TREE = 8192            # vectors of a tree; larger cells are several trees
 PAGE = 64              # entries of a page
-BLOCK = 4096           # queries that one task searches a tree for
+BLOCK = 4096           # queries that one task searches a tree for, or vectors of a block of the exact path
+ROWS = 512             # rows whose distances to all pivots are computed at once
 
-_VECTORS = pa.schema([("vec_id", pa.int64()), ("v", pa.binary()), ("norm", pa.int64()), ("d", pa.int32())])
 _PAGES = pa.schema([("tree", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("ids", pa.binary()), ("vectors", pa.binary()), ("radius", pa.binary()), ("parent", pa.binary())])
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
+_SCALED = pa.schema([("vec_id", pa.int64()), ("v", pa.binary()), ("norm", pa.int64()), ("d", pa.int32()), ("wide", pa.binary())])
+
+
 def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """floor(SCALE * x) of every component, as 32-bit integers; vectors that take no part are left out."""
+    """floor(SCALE * x) of every component: as 32-bit integers (``v``), or as doubles (``wide``) where the squared
+    length reaches EXACT; vectors that take no part are left out."""
     for batch in batches:
-        ids, out, norms = [], [], []
+        ids, small, wide, norms, size = [], [], [], [], []
         for key, x in zip(batch.column("vec_id").to_pylist(), batch.column("x"), strict=True):
             if key is None or not x.is_valid or x.values.null_count:
                 continue
             v = np.floor(SCALE * x.values.to_numpy(zero_copy_only=False).astype(float))
-            if np.isfinite(v).all() and (np.abs(v) < LIMIT).all():
+            if np.isfinite(v).all():
+                norm = float(v @ v)
+                near = norm < EXACT
                 ids.append(key)
-                out.append(v.astype("<i4").tobytes())
-                norms.append(int(v @ v))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary()), pa.array(norms, pa.int64()), pa.array([len(v) // 4 for v in out], pa.int32())], schema=_VECTORS)
+                small.append(v.astype("<i4").tobytes() if near else None)
+                wide.append(None if near else v.astype("<f8").tobytes())
+                norms.append(int(norm) if near else None)
+                size.append(len(v))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((ids, small, norms, size, wide), _SCALED, strict=True)], schema=_SCALED)
 
 
 def matrix(rows: list[bytes], d: int) -> np.ndarray:
@@ -59,8 +67,8 @@ def matrix(rows: list[bytes], d: int) -> np.ndarray:
 
 
 class Metric:
-    """Distances in the space with one more coordinate; products are exact below 2 ** 53, which
-    ``LIMIT`` and the check in ``nearest`` grant, and distances are compared with a margin."""
+    """Distances in the space with one more coordinate; products are exact as squared lengths are below
+    EXACT, and distances are compared with a margin."""
 
     def __init__(self, d: int, most: int):
         self.d, self.most = d, float(most)
@@ -187,28 +195,107 @@ def search_trees(queries: DataFrame, pages: DataFrame, metric: Metric, k: int, b
 
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
     left = queries.withColumn("block", block).groupBy("tree", "block")
-    right = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).groupBy("tree", "block")
+    # a tree's pages go to the blocks that have a query for it
+    asked = queries.select("tree", block.alias("block")).distinct()
+    right = pages.join(asked, "tree").groupBy("tree", "block")
     return left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score long")
 
 
+def _exact_best(q: np.ndarray, own: int, ids: np.ndarray, x: np.ndarray, rough: np.ndarray, slack: float, k: int) -> list[tuple[int, int, int]]:
+    """The k best of a block for one query by exact integers: products in doubles, off by ``slack`` at most, tell
+    which vectors can be among them."""
+    mine = np.flatnonzero(ids != own)
+    if len(mine) > k:
+        least = np.partition(rough[mine], len(mine) - k)[len(mine) - k] - 2 * slack
+        mine = mine[~(rough[mine] < least)]
+    whole = [int(c) for c in q]
+    scores = sorted((-sum(a * int(b) for a, b in zip(whole, x[i], strict=True)), int(ids[i])) for i in mine)
+    return [(own, key, -score) for score, key in scores[:k]]
+
+
+def exact_search(queries: DataFrame, vectors: DataFrame, k: int, d: int, query_blocks: int, blocks: int) -> DataFrame:
+    """(query_id, vec_id, score as decimal text): the k best of each block of ``vectors`` for each query, both (id, v, wide); for
+    vectors too long for products in doubles. Blocks of queries meet blocks of vectors, about BLOCK by BLOCK."""
+
+    def wide(table: pa.Table) -> np.ndarray:
+        rows = [np.frombuffer(w if w is not None else v, "<f8" if w is not None else "<i4").astype(float) for v, w in zip(table.column(1).to_pylist(), table.column(2).to_pylist(), strict=True)]
+        return np.array([np.pad(r, (0, d - len(r))) for r in rows]).reshape(-1, d)
+
+    def search(mine: pa.Table, own: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if mine.num_rows and own.num_rows:
+            q, x, ids = wide(mine), wide(own), own.column(0).to_numpy()
+            with np.errstate(over="ignore", invalid="ignore"):
+                slack = np.abs(q) @ np.abs(x).T * (d * 2.0 ** -50)
+                rough = q @ x.T
+            for i, key in enumerate(mine.column(0).to_pylist()):
+                most = float(slack[i].max())
+                out += _exact_best(q[i], key, ids, x, rough[i] if math.isfinite(most) else np.zeros(len(x)), most if math.isfinite(most) else 1.0, k)
+        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([str(r[2]) for r in out], pa.string())})
+
+    def dealt(rows: DataFrame, side: str, own: str, n: int, other: str, others: int) -> DataFrame:
+        rows = rows.select(*[F.col(c).alias(f"{side}_{c}") for c in ("id", "v", "wide")], F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(f"{side}_{own}"))
+        return rows.withColumn(f"{side}_{other}", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy(f"{side}_qb", f"{side}_xb")
+
+    left, right = dealt(queries, "q", "qb", query_blocks, "xb", blocks), dealt(vectors, "x", "xb", blocks, "qb", query_blocks)
+    return left.cogroup(right).applyInArrow(search, "query_id long, vec_id long, score string")
+
+
 def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k others
     of the highest integer inner product of floor(1024 * x), ties to the smaller id.
 
-    Null ids, null vectors, and vectors holding null or non-finite components, or components whose
-    scaled value reaches 2 ** 27, take no part. Vectors of different lengths are compared as if the
-    shorter ended in zeros. Of rows that repeat an id one counts (the smallest scaled vector). Other
-    columns are ignored; an empty table gives no rows.
+    Null ids, null vectors, and vectors holding null or non-finite components (also when scaled) take
+    no part. Vectors whose scaled squared length reaches EXACT are not in the trees: for them, and for queries
+    like them, an exact path compares blocks in whole numbers. Scores beyond a long are given as its
+    ends, and ranked by their true values. Vectors of different lengths are compared as if the
+    shorter ended in zeros. Of rows that repeat an id one counts (a small vector before a long one, then the
+    smallest). Other columns are ignored; an empty table gives no rows.
     """
     spark = embeddings.sparkSession
+    shape = "query_id long, rank int, vec_id long, score long"
     rows = narrow(embeddings, vec_id=id_col, x=vector_col)
-    rows = rows.select(F.col("vec_id").cast("long"), F.col("x").cast("array<double>").alias("x")).mapInArrow(scaled, "vec_id long, v binary, norm long, d int")
-    rows = written(rows.groupBy("vec_id").agg(F.min(F.struct("v", "norm", "d")).alias("s")).select("vec_id", "s.v", "s.norm", "s.d"), "vectors")
-    d, most, count = rows.agg(F.max("d"), F.max("norm"), F.count(F.lit(1))).first()
-    if not count or not d:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if most >= 1 << 52:
-        raise ValueError("squared lengths from 2 ** 52 on can't be compared exactly")
+    rows = rows.select(F.col("vec_id").cast("long"), F.col("x").cast("array<double>").alias("x")).mapInArrow(scaled, "vec_id long, v binary, norm long, d int, wide binary")
+    first = F.min(F.struct(F.col("v").isNull().alias("long"), "v", "wide", "norm", "d")).alias("s")
+    rows = written(rows.groupBy("vec_id").agg(first).select("vec_id", "s.v", "s.norm", "s.d", "s.wide"), "vectors")
+    query, long = F.col("vec_id") % every == 0, F.col("wide").isNotNull()
+    d, most, count, longs, queries, long_queries = rows.agg(
+        F.max("d"), F.max("norm"), F.count("v"), F.count("wide"), F.count(F.when(query, 1)), F.count(F.when(query & long, 1))).first()
+    if not queries or not d:
+        return spark.createDataFrame([], shape)
+    found = []
+    if count and queries > long_queries:
+        found.append(_by_trees(rows.filter("wide is null").select("vec_id", "v"), d, most, count, k, every).withColumn("score", F.col("score").cast("string")))
+    each = rows.select(F.col("vec_id").alias("id"), "v", "wide")
+    asked = F.col("id") % every == 0
+
+    def blocks(n: int) -> int:
+        return max(1, -(-n // BLOCK))
+
+    if longs:
+        found.append(exact_search(each.filter(asked), each.filter("wide is not null"), k, d, blocks(queries), blocks(longs)))
+    if long_queries and count:
+        found.append(exact_search(each.filter(asked & F.col("wide").isNotNull()), each.filter("wide is null"), k, d, blocks(long_queries), blocks(count)))
+    if not found:
+        return spark.createDataFrame([], shape)
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    if longs:  # whole numbers of any length: by sign, then by digits
+        plus, digits = ~F.col("score").startswith("-"), F.regexp_replace("score", "^-", "")
+        order = [plus.desc(), F.when(plus, F.length(digits)).otherwise(-F.length(digits)).desc(), F.when(plus, digits).desc(), F.when(~plus, digits).asc(), F.col("vec_id").asc()]
+        ends = F.when(plus, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))
+        score = F.coalesce(F.col("score").try_cast("long"), ends)
+    else:
+        score = F.col("score").cast("long")
+        order = [score.desc(), F.col("vec_id").asc()]
+    best = W.partitionBy("query_id").orderBy(*order)
+    return out.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def _by_trees(rows: DataFrame, d: int, most: int, count: int, k: int, every: int) -> DataFrame:
+    """(query_id, vec_id, score) of the k best, and perhaps more, among small vectors (vec_id, v)."""
+    spark = rows.sparkSession
     metric = Metric(d, most)
 
     # pivots: MAX_PIVOTS vectors at most, by a hash of the id
@@ -218,22 +305,21 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: str =
     shared = spark.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            away = _apart(metric.lift(matrix(batch.column("v").to_pylist(), d)), shared.value) if batch.num_rows else np.zeros((0, len(shared.value)))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(away.argmin(1).astype(np.int32) if len(away) else [], pa.int32()), pa.array(away.min(1) if len(away) else [], pa.float64())], names=["vec_id", "v", "cell", "away"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(start, ROWS)
+                away = _apart(metric.lift(matrix(batch.column("v").to_pylist(), d)), shared.value)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(away.argmin(1).astype(np.int32)), pa.array(away.min(1))], names=["vec_id", "v", "cell", "away"])
 
-    placed = written(rows.select("vec_id", "v").mapInArrow(assign, "vec_id long, v binary, cell int, away double"), "cells")
+    placed = written(rows.mapInArrow(assign, "vec_id long, v binary, cell int, away double"), "cells")
     # a row for each pivot: the cell's vectors and radius
     cells = sorted(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect())
-    split = {c["cell"]: -(-c["n"] // TREE) for c in cells}
-    first, total = {}, 0
-    for cell, trees in split.items():
-        first[cell] = total
-        total += trees
-    radius = {c["cell"]: c["r"] for c in cells}
-    tree_of = F.create_map(*[F.lit(x) for cell in split for x in (cell, first[cell])])[F.col("cell")] + F.pmod(
-        F.xxhash64("vec_id"), F.create_map(*[F.lit(x) for cell, n in split.items() for x in (cell, n)])[F.col("cell")]).cast("int")
-    placed = placed.withColumn("tree", tree_of)
+    number = np.array([c["cell"] for c in cells], np.int64)
+    parts = np.array([-(-c["n"] // TREE) for c in cells], np.int64)  # trees of each cell
+    first = np.cumsum(parts) - parts
+    radius = np.array([c["r"] for c in cells])
+    trees = spark.createDataFrame([(int(c), int(f), int(n)) for c, f, n in zip(number, first, parts, strict=True)], "cell int, first int, parts int")
+    placed = placed.join(F.broadcast(trees), "cell").withColumn("tree", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int"))  # MAX_PIVOTS rows
     pages = written(build_trees(placed, metric), "pages")
 
     queries = placed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
@@ -243,25 +329,26 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: str =
         """Trees for each query: those of the nearest pivot, or all others that its bound allows."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids, vs, bounds, trees, reach = [], [], [], [], batch.column("bound").to_pylist()
-                if not batch.num_rows:
-                    continue
-                q = matrix(batch.column("v").to_pylist(), d)
-                norm = (q * q).sum(1)
-                away = np.sqrt(np.maximum(norm[:, None] + (shared.value ** 2).sum(1)[None] - 2 * q @ shared.value[:, :-1].T, 0))
-                for i, (key, v, bound) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("v").to_pylist(), reach, strict=True)):
-                    nearest_cell = min(split, key=lambda c: (away[i, c], c))
-                    limit = math.inf if bound is None else _margin(float(metric.of_query(norm[i], np.array(float(bound)))))
-                    for cell in [nearest_cell] if home else [c for c in split if away[i, c] - radius[c] <= limit]:
-                        for tree in range(first[cell], first[cell] + split[cell]):
-                            at_home = cell == nearest_cell and tree == first[cell] + key % split[cell]
-                            if at_home == home:
-                                ids.append(key)
-                                vs.append(v)
-                                bounds.append(bound)
-                                trees.append(tree)
-                yield pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), pa.array(ids, pa.int64()), pa.array(vs, pa.binary()), pa.array(bounds, pa.int64())], names=["tree", "query_id", "v", "bound"])
+            centers = shared.value[number]
+            for whole in batches:
+                for start in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(start, ROWS)
+                    q = matrix(batch.column("v").to_pylist(), d)
+                    norm = (q * q).sum(1)
+                    away = np.sqrt(np.maximum(norm[:, None] + (centers ** 2).sum(1)[None] - 2 * q @ centers[:, :-1].T, 0))
+                    ids = batch.column("query_id").to_numpy()
+                    near = away.argmin(1)
+                    own = first[near] + ids % parts[near]  # the tree at home that is searched first
+                    if home:
+                        row, tree = np.arange(len(q)), own
+                    else:
+                        bound = np.array([math.nan if b is None else float(b) for b in batch.column("bound").to_pylist()])
+                        limit = np.where(np.isnan(bound), np.inf, _margin(np.sqrt(np.maximum(norm + metric.most - 2 * np.nan_to_num(bound), 0))))
+                        row, cell = np.nonzero(away - radius[None] <= limit[:, None])
+                        row, cell, part = np.repeat(row, parts[cell]), np.repeat(cell, parts[cell]), np.concatenate([np.arange(parts[c]) for c in cell] or [np.zeros(0, np.int64)])
+                        tree = first[cell] + part
+                        row, tree = row[tree != own[row]], tree[tree != own[row]]
+                    yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), batch.column("query_id").take(pa.array(row)), batch.column("v").take(pa.array(row)), batch.column("bound").take(pa.array(row))], names=["tree", "query_id", "v", "bound"])
 
         return run
 
@@ -270,6 +357,4 @@ def nearest(embeddings: DataFrame, k: int = 10, every: int = 100, id_col: str =
     near = written(search_trees(at_home, pages, metric, k, blocks), "near")
     bound = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bound"))
     others = queries.join(bound, "query_id", "left").select("query_id", "v", "bound").mapInArrow(targets(False), shape)
-    found = near.unionByName(search_trees(others, pages, metric, k, blocks))
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return near.unionByName(search_trees(others, pages, metric, k, blocks))

@@ -51,6 +51,19 @@ def test_nearest_is_brute_force(spark, monkeypatch):
     assert mtree.nearest(df.limit(0), 10, 10).collect() == []
 
 
+def test_long_vectors_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(120)]
+    rows += [(200, [70_000.0, 1.0, -3.0, 0.25]), (201, [200_000.0, -5.0, 0.5, 1.0]), (300, [1e9, 1.0, 2.0, 3.0]), (301, [1e9, 1.0, 2.0, 3.5]), (302, [-1e9, 0.0, 1e12, 0.0]), (310, [3e15, 1.0, 1.0, 1.0]), (320, [1e300, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    clip = [(q, n, x, max(-(1 << 63), min((1 << 63) - 1, s))) for q, n, x, s in best(vectors, 10, 10)]
+    assert sorted(map(tuple, mtree.nearest(df, 10, 10).collect())) == clip
+    only = {i: v for i, v in vectors.items() if i in (200, 300, 301)}
+    assert [r["vec_id"] for r in mtree.nearest(df.filter("vec_id in (200, 300, 301)"), 10, 100).orderBy("query_id", "rank").collect()] == [x for _, _, x, _ in best(only, 10, 100)]
+
+
 def test_bounds_save_distances():
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(20, 8)) * 3000
@@ -124,6 +137,22 @@ def test_mix(spark, docs, no_docs, corpus):
     assert mixing.mix_sources(no_docs).collect() == []
 
 
+def test_inclusion_follows_size(spark):
+    """Sources that are alike stand for many draws: each document is taken about as often as its inclusion says."""
+    own = [1] * 240 + [2] * 240 + [4] * 240 + [8] * 120  # no document over 1/256 of its source
+    rows = [(1000 * s + i, "w " * n, f"s{s:03d}") for s in range(80) for i, n in enumerate(own)]
+    found = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 2)).collect()
+    for whole in (0, 1):
+        part = [r for r in found if r["whole"] == whole]
+        rest = part[0]["target"] - whole * part[0]["source_size"]
+        expected = dict(zip(own, mixing._inclusion(np.array(own), rest).tolist(), strict=True))
+        assert sum(n * expected[n] for n in own) == pytest.approx(rest)
+        for n in (1, 2, 4, 8):
+            these = [r["copies"] - whole for r in part if r["size"] == n]
+            assert np.mean(these) == pytest.approx(expected[n], abs=0.025)
+    assert mixing._inclusion(np.array([5, 100, 5, 5]), 108).tolist() == pytest.approx([8 / 15, 1.0, 8 / 15, 8 / 15])
+
+
 # ---------------------------------------------------------------- 7
 def brute_classes(rows, n, threshold):
     sets = {}
