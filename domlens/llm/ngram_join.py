@@ -288,9 +288,11 @@ def _largest(rows: DataFrame) -> DataFrame:
 
 
 def _with_leaders(mixed: DataFrame, turn: int, p: int, q: int) -> DataFrame:
-    """Candidates of every document with LEADERS documents of each n-gram, others each turn."""
+    """Candidates of every document with LEADERS documents of each n-gram, others each turn. The first of them has
+    the n-gram nearest the start of its prefix: it has the fewest n-grams of its own, and the
+    positional filter leaves it the most partners."""
     one = ["doc_id", "n", "at", "component", *PARTS]
-    lead = mixed.groupBy("gram").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("component", F.lit(LEADERS * turn + k)).alias("h"), *one)).dropFields("h") for k in range(LEADERS)])).alias("l"))
+    lead = mixed.groupBy("gram").agg(F.array_distinct(F.array(*[F.min(F.struct(*([F.col("at").alias("first")] if k == 0 else []), F.xxhash64("component", F.lit(LEADERS * turn + k)).alias("h"), *one)).dropFields("first", "h") for k in range(LEADERS)])).alias("l"))
     lead = lead.select("gram", F.explode("l").alias("l")).select("gram", "l.*")
     on = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.component") != F.col("y.component")) & _possible(p, q)
     return mixed.alias("x").join(lead.alias("y"), on).select(*_pair())
