@@ -39,8 +39,8 @@ SLICE = 1 << 20      # bytes of text hashed at once
 LEADERS = 3          # of an n-gram in a round
 WORK = 32            # documents outside an n-gram's largest class from which on leaders are tried first
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("prefix", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in PARTS] + [("wide", pa.list_(pa.int64()))])
-_GRAMS = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("prefix", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in PARTS] + [("wide", pa.list_(pa.int64()))])
+_GRAMS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -107,7 +107,7 @@ def ordered(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def document_sets(texts: DataFrame, n: int, threshold: Fraction, classes) -> DataFrame:
-    """(doc_id, n: set size, digest, digest2 of the set, prefix, p0 to p3): one row per document. A
+    """(doc_id, t1, t2, n: set size, digest, digest2 of the set, prefix, p0 to p3): one row per document. A
     bit of p0 to p3 is set if a section of the hashes holds an odd number of the set's n-grams, and
     so is one of ``wide``, which has more and narrower sections."""
 
@@ -119,17 +119,23 @@ def document_sets(texts: DataFrame, n: int, threshold: Fraction, classes) -> Dat
                 order = ordered(grams, kinds)
                 count = len(order)
                 size.append(count)
-                weight = np.arange(1, 2 * count + 1, 2, dtype=np.uint64)
-                one.append(int((grams * weight).sum().astype(np.int64)))
-                two.append(int(((grams >> np.uint64(7)) * (weight * weight + grams)).sum().astype(np.int64)))
+                digest = _digests(grams)
+                one.append(digest[0])
+                two.append(digest[1])
                 prefix.append(order[:count - _ceil(threshold * count) + 1] if count else order)
                 odd.append(_parity(grams, len(PARTS)))
                 wide.append(_parity(grams, WIDE))
             odd = np.array(odd, np.int64).reshape(-1, len(PARTS))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in (size, one, two)), pa.array(prefix, _SETS.field("prefix").type), *(pa.array(odd[:, k]) for k in range(len(PARTS))), pa.array(wide, _SETS.field("wide").type)], schema=_SETS)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "t1", "t2")), *(pa.array(c, pa.int64()) for c in (size, one, two)), pa.array(prefix, _SETS.field("prefix").type), *(pa.array(odd[:, k]) for k in range(len(PARTS))), pa.array(wide, _SETS.field("wide").type)], schema=_SETS)
         release()
 
-    return texts.mapInArrow(run, "doc_id long, n long, digest long, digest2 long, prefix array<long>, p0 long, p1 long, p2 long, p3 long, wide array<long>")
+    return texts.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, digest long, digest2 long, prefix array<long>, p0 long, p1 long, p2 long, p3 long, wide array<long>")
+
+
+def _digests(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    weight = np.arange(1, 2 * len(grams) + 1, 2, dtype=np.uint64)
+    return int((grams * weight).sum().astype(np.int64)), int(((grams >> np.uint64(7)) * (weight * weight + grams)).sum().astype(np.int64))
 
 
 def _parity(grams: np.ndarray, parts: int) -> np.ndarray:
@@ -142,14 +148,16 @@ def _ceil(x: Fraction) -> int:
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams: 64-bit hashes) of the documents to verify."""
+    """(doc_id, n, digest, digest2, grams: 64-bit hashes) of the documents to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.astype(np.int64) for g in _sets(batch, n)], _GRAMS.field("grams").type)], schema=_GRAMS)
+            sets = list(_sets(batch, n))
+            digests = [_digests(g) for g in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([g.astype(np.int64) for g in sets], _GRAMS.field("grams").type)], schema=_GRAMS)
         release()
 
-    return texts.mapInArrow(run, "doc_id long, grams array<long>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest long, digest2 long, grams array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -183,46 +191,54 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc_id")
 
 
-def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id), where documents are linked if the
-    Jaccard similarity of their sets of n-grams of words is ``threshold`` (a decimal) or more, and
-    component_id is the smallest id that links lead to.
+def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col: str, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(sets, same, label). ``sets``: a row for each document (row, doc_id, t1, t2: hashes of the text, n, digest,
+    digest2). ``same``: each distinct set that isn't empty (digest, digest2, n, rep: its smallest id, sid: the row
+    of its first document, which stands for it). ``label``: (doc_id: a sid, component: the smallest sid that links lead to) of all
+    linked sets, or None.
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text after lower-casing A-Z; a text of fewer than n
-    words has one n-gram, the whole sequence; null and empty texts have none and are linked with
-    nothing. Rows that repeat an id keep a row each (an id with several texts is linked
-    with what one of them is like); rows with a null id are linked with nothing and have a null
-    component. Other columns are ignored; an empty table gives no rows.
+    Sets are known by their digests and rows throughout, never by ids, so that ids that repeat with
+    different texts, and null ids (if ``null_ids``), take part like others.
     """
     spark, limit = docs.sparkSession, Fraction(threshold)
     p, q = limit.numerator, limit.denominator
     texts = narrow(docs, doc_id=id_col, text=text_col)
-    texts = texts.select(F.col("doc_id").cast("long"), "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(texts, n).tobytes())
-    sets = written(document_sets(texts, n, limit, classes), "sets")
-
-    # documents with one set are one class, which its smallest document stands for
-    same = written(sets.filter("n > 0 and doc_id is not null").groupBy("digest", "digest2", "n").agg(F.min("doc_id").alias("rep")), "reps")
-    reps = sets.select("doc_id", "digest", "digest2", "n", "prefix").join(same.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest", "digest2", "n"], "left_semi")
+    texts = texts.select(F.col("doc_id").cast("long"), "text", *[h.alias(f"t{k}") for k, h in enumerate(text_hashes(F.col("text")), 1)])
+    classes = spark.sparkContext.broadcast(frequency_classes(texts.select("doc_id", "text"), n).tobytes())
+    sets = written(document_sets(texts, n, limit, classes).withColumn("row", F.monotonically_increasing_id()), "sets")
+
+    # documents with one set are one class, which its first document stands for
+    one = ["digest", "digest2", "n"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
+    same = sets.filter("n > 0" if null_ids else "n > 0 and doc_id is not null").groupBy(*one).agg(first)
+    same = written(same.select(*one, F.col("f.doc_id").alias("rep"), F.col("f.row").alias("sid")), "reps")
+    reps = sets.join(same.select(F.col("sid").alias("row")), "row", "left_semi").withColumn("doc_id", F.col("row"))
     posts = reps.select("doc_id", F.posexplode("prefix").alias("at", "gram"))
     shared = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
-    odd = sets.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", *PARTS)).alias("s")).select("doc_id", "s.*")
-    posts = written(posts.join(shared, "gram").join(odd, "doc_id"), "posts")
+    posts = written(posts.join(shared, "gram").join(reps.select("doc_id", "n", *PARTS), "doc_id"), "posts")
     free_shuffles(spark)
 
     tried = label = grams = None
 
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(doc_id, grams) of the sids in ``ends``, from the texts of the documents that stand for them."""
+        wanted = written(same.join(ends.withColumnRenamed("doc_id", "sid"), "sid", "left_semi"), "ends")
+        found = whole_sets(texts.join(wanted.select("rep"), texts["doc_id"].eqNullSafe(wanted["rep"]), "left_semi"), n).alias("f")
+        on = F.col("f.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("f.digest") == F.col("w.digest")) & (F.col("f.digest2") == F.col("w.digest2")) & (F.col("f.n") == F.col("w.n"))
+        # rows that repeat an id and its set give it once
+        return found.join(wanted.alias("w"), on).select(F.col("w.sid").alias("doc_id"), "grams").dropDuplicates(["doc_id"])
+
     def link(pairs: DataFrame) -> bool:
         """Verify new pairs, each once, and bring the classes up to date; whether there are new links."""
         nonlocal tried, label, grams
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
-        wide = sets.select("doc_id", "n", "wide").join(written(_ends(pairs), "ends"), "doc_id", "left_semi")
+        wide = reps.select("doc_id", "n", "wide").join(written(_ends(pairs), "ends"), "doc_id", "left_semi")
         pairs = written(_second_filter(pairs, wide, p, q), "pairs")
         ends = _ends(pairs)
         if grams is not None:
             ends = ends.join(grams.select("doc_id"), "doc_id", "left_anti")
-        fresh = written(whole_sets(texts.join(written(ends, "ends"), "doc_id", "left_semi"), n), "grams")
+        fresh = written(sets_of(written(ends, "ends")), "grams")
         grams = fresh if grams is None else grams.union(fresh)
         new = written(similar(pairs, grams, limit).distinct(), "links")
         if not new.head(1):
@@ -249,11 +265,53 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: s
         turn, before = turn + 1, left
     mine = labelled(posts)
     link(_remaining(mine, _largest(mine).filter("t.c < m"), p, q).distinct())
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest", "digest2", "n")
+    return sets.select("row", "doc_id", "t1", "t2", *one), same, label
+
+
+def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id), where documents are linked if the
+    Jaccard similarity of their sets of n-grams of words is ``threshold`` (a decimal) or more, and
+    component_id is the smallest id that links lead to.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text after lower-casing A-Z; a text of fewer than n
+    words has one n-gram, the whole sequence; null and empty texts have none and are linked with
+    nothing. Rows that repeat an id keep a row each; an id with several texts is linked
+    with whatever any of them is like. Rows with a null id are linked with nothing and have a null
+    component. Other columns are ignored; an empty table gives no rows.
+    """
+    sets, same, label = set_classes(docs, n, threshold, id_col, text_col, null_ids=False)
+    one = ["digest", "digest2", "n"]
+    # an id with several sets links these
+    own = sets.filter("doc_id is not null and n > 0").groupBy("doc_id", *one).agg(F.lit(1).alias("_")).join(same, one)
+    several = own.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("most")).filter("b < most").select("doc_id", "b")
+    links = written(own.join(several, "doc_id").filter("sid > b").select(F.col("sid").alias("a"), "b").distinct(), "own_links")
+    if links.head(1):
+        label = components(links if label is None else label.toDF("a", "b").union(links))
     if label is not None:
-        same = same.join(label.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
-    out = out.join(same, ["digest", "digest2", "n"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+        same = same.join(label.withColumnRenamed("doc_id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+        smallest = same.groupBy("component").agg(F.min("rep").alias("least"))
+        same = same.join(smallest, "component").select(*one, F.col("least").alias("rep"))
+    out = sets.join(same.select(*one, "rep"), one, "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, t1, t2) of the texts that aren't the first of their class, by id, null last, and then by the hashes
+    t1 and t2 of the text (``text_hashes``). Classes are of texts, whatever their ids: a text that only shares its id
+    with another isn't linked with it. Rows that repeat an id and its text are alike."""
+    sets, same, label = set_classes(docs, n, threshold, id_col, text_col, null_ids=True)
+    one = ["digest", "digest2", "n"]
+    classes = same.select(*one, F.col("sid").alias("class"))
+    if label is not None:
+        classes = same.join(label.withColumnRenamed("doc_id", "sid"), "sid", "left").select(*one, F.coalesce("component", "sid").alias("class"))
+    rows = written(sets.join(classes, one).select("class", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2").alias("k")), "class_rows")
+    first = rows.groupBy("class").agg(F.min("k").alias("first"), F.max("k").alias("last")).filter("first < last").select("class", "first")
+    return rows.join(first, "class").filter("k > first").select("k.doc_id", "k.t1", "k.t2").distinct()
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text in two longs."""
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
 
 
 def _possible(p: int, q: int) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, release, slices, utf8
+from .common import narrow, release, slices, utf8, written
 from .words import LOWER, hash_prefixes, hash_runs
 
 SAMPLE = 20_000    # labelled documents that the classifier is fitted on at most, the first by a hash
@@ -127,21 +127,22 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Train on a bounded sample (SAMPLE documents) of the rows that aren't held out. Without any
-    label of either kind the model has no features and scores by its bias alone."""
+    """Train on a bounded sample of the labelled ids that aren't held out: SAMPLE ids at most, one text each (of several
+    the one with the smallest hash), however often an id occurs. Without any label of either kind, or from
+    empty tables, the model has no features and scores by its bias alone."""
     spark = docs.sparkSession
     sample = training_sample(labels, label_col, id_col)
     if not sample:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0)
-    chosen = spark.sparkContext.broadcast(sample)
-    texts = narrow(docs, doc_id=id_col, text=text_col)
-    texts = texts.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
+    chosen = spark.createDataFrame(list(sample.items()), "doc_id long, label int")
+    texts = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+    # one text an id, however often it occurs; found once, and read twice
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    texts = written(texts, "labelled")
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for batch in batches:
-            mine = batch.filter(pa.array([d in chosen.value for d in batch.column("doc_id").to_pylist()]))
-            for part in slices(iter([mine]), "text", SLICE):
-                yield [chosen.value[d] for d in part.column("doc_id").to_pylist()], *features(*utf8(part.column("text")))
+        for part in slices(batches, "text", SLICE):
+            yield part.column("label").to_pylist(), *features(*utf8(part.column("text")))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, hashes, sentence, _, text in sampled(batches):
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 pa.array([int(v > 0) for v in label], pa.int64()), pa.array(count, pa.int64()),
                 pa.array([inside[p].astype(np.int32) for p in parts], pa.list_(pa.int32())), pa.array([feature[p].astype(np.int32) for p in parts], pa.list_(pa.int32()))], names=["y", "sentences", "sentence", "feature"])
 
-    rows = texts.mapInArrow(bags, "y long, sentences long, sentence array<int>, feature array<int>").collect()  # SAMPLE rows of numbers
+    rows = texts.mapInArrow(bags, "y long, sentences long, sentence array<int>, feature array<int>").collect()  # SAMPLE rows at most: numbers of the sentences that have features
     y, doc_of, sentence, feature = [], [], [], []
     for row in rows:
         local = {s: len(doc_of) + k for k, s in enumerate(dict.fromkeys(row["sentence"]))}
@@ -201,6 +202,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     Null and empty texts, and texts without words, have no sentence: score 0 and worst_start -1.
     Null ids aren't held out. Repeated rows each have their own row; other columns (label, language,
     source) are never read. Nothing is shuffled; a task holds a few MB of texts, or one longer text.
+    An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -408,3 +408,58 @@ def test_pipeline_with_odd_rows(spark, docs, no_docs):
 def test_pipeline_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "n_tokens", "ids"] and all(len(r["ids"]) == r["n_tokens"] > 0 for r in out.collect())
+
+
+def test_ids_with_several_texts(spark):
+    """Links hang on texts: an id with several texts is linked by each of them, and drops only the near copies."""
+    long = " ".join(f"w{i}" for i in range(80))
+    near_ = " ".join(f"w{i}" for i in range(79))
+    short = " ".join(f"s{i}" for i in range(12))
+    rows = [(1, short), (1, long), (2, near_), (3, short + " x"), (4, "alone here"), (None, near_ + " y"), (None, long + " z"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in ngram_join.ngram_classes(df, 5, "0.8").collect()}
+    assert got[(1, 76)] == got[(2, 75)] == got[(1, 8)] == got[(3, 9)] == 1 and got[(4, 1)] == 4 and got[(None, 76)] is None and got[(4, 0)] == 4
+    docs_ = df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, docs_, SF).collect()), key=str)
+    assert kept == sorted([(1, short), (1, long), (4, "alone here"), (4, None)], key=str)
+    many = spark.createDataFrame([(7, f"text number {i} of one id " + " ".join(f"v{i}x{j}" for j in range(10))) for i in range(1000)] + [(8, "text number 5 of one id " + " ".join(f"v5x{j}" for j in range(10)))], "doc_id long, text string")
+    assert {r["component_id"] for r in ngram_join.ngram_classes(many, 5, "0.8").collect()} == {7}
+    assert ngram_join.near_copies(many, 5, "0.8").count() == 1
+
+
+def test_noisy_or_is_brute_force(spark, docs, corpus):
+    """Scores from sentences split and looked up in plain Python."""
+    model = toxicity.fit(corpus[0], spark.read.parquet(f"{SF}/labels.parquet"), "toxic")
+    weight = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def score(text):
+        low = (text or "").encode().translate(bytes(toxicity.LOWER.tolist()))
+        clean = 1.0
+        for sentence in re.split(rb"[.!?\n]", low):
+            words = re.findall(rb"[0-9a-z'\x80-\xff]+", sentence)
+            if words:
+                seen = set()
+                for w in words:
+                    for piece in [w, *(w[:k] for k in toxicity.PREFIXES if len(w) > k)]:
+                        data = np.frombuffer(piece, np.uint8)
+                        if piece is w:
+                            seen.add(int(toxicity.hash_runs(data, np.ones(len(data), bool), np.zeros(1, np.int64))[2][0]))
+                    for k in toxicity.PREFIXES:
+                        if len(w) > k:
+                            data = np.frombuffer(w, np.uint8)
+                            seen.add(int(toxicity.hash_prefixes(data, np.zeros(1, np.int64), np.array([len(w)]), k)[1][0]))
+                z = model.bias + sum(weight.get(h, 0.0) for h in seen)
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        return 1 - clean
+
+    for df in (docs, corpus[0]):
+        texts = sorted((r["text"] or "" for r in df.collect()))
+        found = sorted((r["score"] for r in toxicity.score_documents(df, model).collect()))
+        assert found == pytest.approx(sorted(map(score, texts)), abs=1e-9)
+
+
+def test_an_id_counts_once_in_the_fit(spark, corpus):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    once_ = toxicity.fit(corpus[0], labels, "toxic")
+    many = toxicity.fit(corpus[0].unionByName(corpus[0]).unionByName(corpus[0].limit(50)), labels, "toxic")
+    assert (once_.hashes == many.hashes).all() and np.allclose(once_.weights, many.weights) and once_.bias == pytest.approx(many.bias)
