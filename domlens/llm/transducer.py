@@ -8,9 +8,13 @@ trie, the count so far, and the token that ends there or, deeper in the trie, wh
 below the node may follow it. As the last token of every prefix of a run is the only one that may
 follow the token before it, these items decide all later counts.
 
-Texts are cut into chunks. Many chunks are run in step, each from a supposed start state; where a
-chunk turns out to start in another state (its neighbour's end state), it is run again from that,
-until nothing changes: as many rounds as a text has chunks at worst.
+Texts are cut into chunks. A chunk's map takes the states it may start in to its end state and
+count: the state at the start of a run, and what the chunk before it ends in from its own first
+states. All chunks are run in step for one of these states at a time. A parallel prefix scan then composes the
+maps pairwise, over spans of 1, 2, 4, ... chunks, in as many passes as the logarithm of their
+number; the first chunk of a text maps every state alike, so that a text never hangs on the one before
+it. Where a chain leaves the states that a map knows, the rest of that text is run through once, byte
+by byte: the work is linear in a text's length whatever it holds.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import narrow, slices, utf8
 
 CHUNK = 512
-MAX_STATES = 120_000  # states after which the compiled table is dropped and begun anew
+STARTS = 3            # start states in a chunk's map
+MAX_STATES = 60_000   # states (1 KB each) at which the compiled table is begun anew with those in use
 _HALF = 64            # a transition is next state * 2 * _HALF + (change of count + _HALF)
 
 SMALL = 32            # tokens of a subtree that is told by which of them may follow
@@ -245,15 +250,34 @@ class Transducer:
         self.number: dict[tuple, int] = {(START,): 0}
         self.table = np.full(1024 * 256, -1, np.int32)
         self._steps.clear()
+        self._masks.clear()
 
-    def _compile(self, state: int, byte: int) -> None:
-        after, change = self._byte(self.states[state], byte)
-        number = self.number.get(after)
+    def _renew(self, held: list[np.ndarray]) -> None:
+        """Begin the table anew with the states that the arrays hold (-1: none), and renumber these in place."""
+        used = np.unique(np.concatenate([a.ravel() for a in held]))
+        used = used[used > 0]
+        states = [self.states[k] for k in used.tolist()]
+        self._clear()
+        for state in states:
+            self._number(state)
+        for a in held:
+            new = np.searchsorted(used, a) + 1
+            a[...] = np.where(a > 0, new, a)
+
+    def _number(self, state: tuple) -> int:
+        number = self.number.get(state)
         if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-            if number * 256 >= len(self.table):
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+            while number * 256 >= len(self.table):
                 self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+        return number
+
+    def _compile(self, state: int, byte: int) -> None:
+        after, change = self._byte(self.states[state], byte)
+        if not -_HALF <= change < _HALF:
+            raise OverflowError(f"a change of {change} tokens in one byte")
+        number = self._number(after)
         self.table[state * 256 + byte] = number * (2 * _HALF) + change + _HALF
 
     def moves(self, states: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -266,14 +290,17 @@ class Transducer:
         return found
 
     # ------------------------------------------------------------ chunks
-    def _run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """End state and count of each chunk data[start:end] from its state, all chunks in step."""
+    def _run(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray, held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """End state and count of each chunk data[start:end] from its state, all chunks in step. ``held`` are the
+        caller's arrays of states."""
         size = end - start
         order = np.argsort(-size, kind="stable")
         size, at, state = size[order], start[order], state[order].astype(np.int64)
         count = np.zeros(len(size), np.int64)
         running = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")  # chunks longer than j
         for j, n in enumerate(running.tolist()):
+            if len(self.states) > MAX_STATES:
+                self._renew([state, *held])
             found = self.moves(state[:n], data[at[:n] + j])
             state[:n] = found // (2 * _HALF)
             count[:n] += found % (2 * _HALF) - _HALF
@@ -281,10 +308,25 @@ class Transducer:
         final[order], counts[order] = state, count
         return final, counts
 
+    def _walk(self, data: np.ndarray, start: int, end: int, state: int, held: list[np.ndarray]) -> int:
+        """Count of data[start:end] from a state, byte by byte."""
+        count, table = 0, memoryview(self.table)
+        for byte in data[start:end].tobytes():
+            found = table[state << 8 | byte]
+            if found < 0:
+                if len(self.states) > MAX_STATES:
+                    now = np.array([state])
+                    self._renew([now, *held])
+                    state = int(now[0])
+                self._compile(state, byte)
+                table = memoryview(self.table)
+                found = table[state << 8 | byte]
+            state = found // (2 * _HALF)
+            count += found % (2 * _HALF) - _HALF
+        return count
+
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each of the texts data[offsets[k]:offsets[k + 1]]."""
-        if len(self.states) > MAX_STATES:
-            self._clear()
         if len(self._masks) + len(self._steps) > 4 * MAX_STATES:  # these only save time
             self._masks.clear()
             self._steps.clear()
@@ -294,33 +336,40 @@ class Transducer:
             return out
         start, end, owner = self._chunks(data, bounds)
         first = np.append(True, owner[1:] != owner[:-1])
-        supposed = np.zeros(len(start), np.int64)  # chunks begin after a run where they can
-        final, counts = self._run(data, start, end, supposed)
-        maps: dict[int, dict[int, tuple[int, int]]] = {}
-        while True:
-            # compose the maps along each text: does each begin where the one before it ends?
-            true = np.where(first, 0, np.append(0, final[:-1]))
-            off = np.flatnonzero(true != supposed)
-            same = off[self.moves(true[off], data[start[off]]) == self.moves(supposed[off], data[start[off]])]
-            supposed[same] = true[same]  # the first byte leads both states to one, with one count
-            off = np.setdiff1d(off, same, assume_unique=True)
-            if not len(off):
-                break
-            new = []
-            for k in off.tolist():
-                known = maps.setdefault(k, {})
-                known[int(supposed[k])] = (int(final[k]), int(counts[k]))
-                hit = known.get(int(true[k]))
-                if hit is None:
-                    new.append(k)
-                else:
-                    final[k], counts[k] = hit
-                supposed[k] = true[k]
-            if new:
-                final[new], counts[new] = self._run(data, start[new], end[new], supposed[new])
-        np.add.at(out, texts[owner], counts)
+        entry, final, counts = self._maps(data, start, end, first)
+        final, counts = _scan(entry, final, counts, first)
+        last = np.flatnonzero(np.append(first[1:], True))
+        total = counts[last]
+        lost = np.flatnonzero(final < 0)
+        if len(lost):  # the first chunk of each text that a chain could not enter, and the rest of the text
+            of, where = np.unique(owner[lost], return_index=True)
+            for text, k in zip(of.tolist(), lost[where].tolist(), strict=True):
+                total[text] = counts[k - 1] + self._walk(data, int(start[k]), int(bounds[text, 1]), int(final[k - 1]), [final])
+        np.add.at(out, texts, total)
         return out
 
+    def _maps(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start states, end states, counts), each chunks x STARTS; -1: no state."""
+        n = len(start)
+        entry, final, counts = np.full((n, STARTS), -1, np.int64), np.full((n, STARTS), -1, np.int64), np.zeros((n, STARTS), np.int64)
+        held = [entry, final]
+        entry[:, 0] = 0  # chunks begin after a run where they can
+        final[:, 0], counts[:, 0] = self._run(data, start, end, entry[:, 0], held)
+        for d in range(1, STARTS):
+            if len(self.states) > MAX_STATES:
+                self._renew(held)
+            before = np.append(-1, final[:-1, d - 1])
+            new = np.flatnonzero(~first & (before >= 0) & (entry[:, :d] != before[:, None]).all(1))
+            if not len(new):
+                break
+            entry[new, d] = before[new]
+            same = self.moves(entry[new, d], data[start[new]]) == self.moves(entry[new, 0], data[start[new]])
+            like, other = new[same], new[~same]  # the first byte leads both states to one, with one count
+            final[like, d], counts[like, d] = final[like, 0], counts[like, 0]
+            ends, found = self._run(data, start[other], end[other], entry[other, d], held)
+            final[other, d], counts[other, d] = ends, found
+        return entry, final, counts
+
     def _segments(self, data: np.ndarray, offsets: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nonempty stretches between special strings, each of which is one token: (start, end)
         rows, and the text of each."""
@@ -365,6 +414,34 @@ class Transducer:
         return start, np.where(last, bounds[owner, 1], end), owner
 
 
+def _scan(entry: np.ndarray, final: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parallel prefix scan of the chunks' maps: for each chunk the end state and the count from the
+    start of its text up to its end; state -1 where a chain left the maps.
+
+    In pass j a chunk's map covers the 2^j chunks up to it, from the start states of the first of
+    these. It is composed with the map that ends before that one. Maps that cover the start of a text
+    take every state alike, and stay as they are.
+    """
+    final, counts, fixed = final.copy(), counts.copy(), first.copy()
+    final[first], counts[first] = final[first, :1], counts[first, :1]
+    span = 1
+    while span < len(first) and not fixed.all():
+        right = np.flatnonzero(~fixed)
+        right = right[right >= span]
+        left = right - span
+        starts = entry[left + 1]
+        came = final[left]
+        hit = (came[:, :, None] == starts[:, None, :]) & (came >= 0)[:, :, None]
+        known, at = hit.any(2), hit.argmax(2)
+        ends = np.where(known, np.take_along_axis(final[right], at, 1), -1)
+        sums = counts[left] + np.take_along_axis(counts[right], at, 1)
+        done = fixed[left]
+        final[right], counts[right] = ends, sums
+        fixed[right] = done
+        span *= 2
+    return final[:, 0], counts[:, 0]
+
+
 def _places(data: bytes, what: bytes) -> Iterator[int]:
     at = data.find(what)
     while at >= 0:
@@ -386,7 +463,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int, id_col: str = "doc
 
     Null and empty texts have 0 tokens. Special strings inside a text are one token each, as by the
     library's default. Repeated rows each have their own row; other columns are ignored; nothing is
-    shuffled, and a task holds a few MB of texts (or one longer text) and the compiled table.
+    shuffled, and a task holds a few MB of texts (or one longer text) and the compiled table, at most
+    MAX_STATES states. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

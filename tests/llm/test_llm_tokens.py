@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -84,6 +86,37 @@ def test_transducer_is_the_library():
     assert got.tolist() == [len(e.ids) for e in library(BYTE).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("chunk,starts,states", [(16, 3, 60_000), (8, 2, 300), (64, 1, 60_000)])
+def test_long_texts_and_small_tables(monkeypatch, chunk, starts, states):
+    """Chains that leave the maps, chunks without safe cuts, and tables that are begun anew inside a text."""
+    monkeypatch.setattr(transducer, "CHUNK", chunk)
+    monkeypatch.setattr(transducer, "STARTS", starts)
+    monkeypatch.setattr(transducer, "MAX_STATES", states)
+    random.seed(5)
+    code = base64.b64encode(random.randbytes(6000)).decode()
+    texts = ["a" * 3001, code, "x", code[::-1] + " tail", "ab" * 1500 + " x" * 40, "é中" * 700, "'s" * 500, "", "1" * 999 + "a" * 999 + "<|endoftext|>" + "b" * 700, "\n \n" * 400]
+    machine, data = transducer.Transducer(BYTE), [t.encode() for t in texts]
+    got = machine.count(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    assert got.tolist() == [len(e.ids) for e in library(BYTE).encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(machine.states) < states + 5000
+
+
+def test_a_long_text_without_spaces():
+    """Linear in the length: four times the text takes about four times as long."""
+    random.seed(8)
+    machine, took = transducer.Transducer(BYTE), []
+    for size in (1, 4):
+        text = "".join(random.choices("abcde", k=2000)) * (size * 250)
+        data = np.frombuffer(text.encode(), np.uint8)
+        machine.count(data, np.array([0, len(data)]))
+        began = time.process_time()
+        found = machine.count(data, np.array([0, len(data)]))
+        took.append(time.process_time() - began)
+        if size == 1:
+            assert found.tolist() == [len(library(BYTE).encode(text, add_special_tokens=False).ids)]
+    assert took[1] < 12 * took[0] + 1
+
+
 def test_token_counts(docs, no_docs):
     plain = library(BYTE)
     got = transducer.token_counts(docs, BYTE, 1024).collect()
