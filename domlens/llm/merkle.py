@@ -1,8 +1,8 @@
 """Merkle manifest of a dataset: one hash tree a group, one above the groups, kept in blocks in van
 Emde Boas order, with proofs of single rows.
 
-A tree over n leaves is cut into aligned blocks of BLOCK levels: block b of stage 0 has the leaves
-b * 2^BLOCK and on, its root is leaf b of stage 1, and so on up to one root. A block is a row of a
+A tree over n leaves is cut into aligned blocks of so many levels (BLOCK): block b of stage 0 has the leaves
+b * 2^levels and on, its root is leaf b of stage 1, and so on up to one root. A block is a row of a
 table whose nodes lie in van Emde Boas order: the upper half of its levels first, then the subtrees
 below from left to right, each stored in the same way. ``places`` is the address arithmetic.
 """
@@ -50,14 +50,14 @@ def _parent(nodes: Sequence[bytes]) -> bytes:
     return sha256("".join(n.hex() for n in nodes).encode()).digest()
 
 
-def heights(leaves: int, whole: bool) -> int:
-    """Levels of hashing: to a single node, or all of a block that is not alone in its tree."""
-    return BLOCK if whole else max(leaves - 1, 0).bit_length()
+def heights(leaves: int, levels: int) -> int:
+    """Levels of hashing: ``levels`` in a block that is one of several, or, if that is 0, to a single node."""
+    return levels or max(leaves - 1, 0).bit_length()
 
 
-def build_block(leaves: Sequence[bytes], whole: bool) -> tuple[bytes, bytes]:
+def build_block(leaves: Sequence[bytes], levels: int) -> tuple[bytes, bytes]:
     """(nodes in van Emde Boas order, root). Slots beyond the last leaf stay empty."""
-    height = heights(len(leaves), whole)
+    height = heights(len(leaves), levels)
     at = layout(height)
     nodes = np.zeros(((2 << height) - 1, DIGEST), np.uint8)
     row = list(leaves)
@@ -68,10 +68,10 @@ def build_block(leaves: Sequence[bytes], whole: bool) -> tuple[bytes, bytes]:
     return nodes.tobytes(), row[0]
 
 
-def siblings(nodes: bytes, leaves: int, whole: bool) -> list[list[tuple[int, bytes]]]:
+def siblings(nodes: bytes, leaves: int, levels: int) -> list[list[tuple[int, bytes]]]:
     """For each leaf of a stored block, from the leaf up: (side, digest), where side is 0 for a node that is alone
     in its run, 1 for a sibling on the left and 2 for one on the right."""
-    height = heights(leaves, whole)
+    height = heights(leaves, levels)
     at, table = layout(height), np.frombuffer(nodes, np.uint8).reshape(-1, DIGEST)
     out: list[list[tuple[int, bytes]]] = [[] for _ in range(leaves)]
     count = leaves
@@ -100,28 +100,27 @@ def unpack(path: bytes) -> list[tuple[int, bytes]]:
 
 
 # ---------------------------------------------------------------- construction
-_BLOCKS = pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("whole", pa.bool_()), ("nodes", pa.binary()), ("root", pa.binary())])
-_BLOCKS_DDL = "tree long, block long, n long, whole boolean, nodes binary, root binary"
+_BLOCKS = pa.schema([("tree", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("levels", pa.int32()), ("nodes", pa.binary()), ("root", pa.binary())])
+_BLOCKS_DDL = "tree long, block long, n long, levels int, nodes binary, root binary"
 
 
-def _block_of(rows: pa.Table) -> pa.Table:
-    """One block from its leaves (tree, row, n_rows, hash): at most 2^BLOCK rows."""
-    rows = rows.sort_by("row")
-    whole = rows["n_rows"][0].as_py() > 1 << BLOCK
-    nodes, root = build_block(rows["hash"].to_pylist(), whole)
-    first = rows.slice(0, 1)
-    columns = (first["tree"].to_pylist(), [first["row"][0].as_py() >> BLOCK], [rows.num_rows], [whole], [nodes], [root])
-    return pa.Table.from_batches([as_batch(_BLOCKS, *columns)])
-
-
-def build(leaves: DataFrame, name: str) -> list[DataFrame]:
+def build(leaves: DataFrame, name: str, levels: int = BLOCK) -> list[DataFrame]:
     """Tables of blocks, one for each stage, from leaves (tree, row, n_rows, hash), where ``row`` counts a tree's
     leaves from 0. Stages follow from the largest tree; a tree that is done in a stage has no rows in the next."""
+
+    def one_block(rows: pa.Table) -> pa.Table:
+        """At most 2^levels leaves."""
+        rows = rows.sort_by("row")
+        own = levels if rows["n_rows"][0].as_py() > 1 << levels else 0
+        nodes, root = build_block(rows["hash"].to_pylist(), own)
+        first = rows.slice(0, 1)
+        return pa.Table.from_batches([as_batch(_BLOCKS, first["tree"].to_pylist(), [first["row"][0].as_py() >> levels], [rows.num_rows], [own], [nodes], [root])])
+
     out, most = [], leaves.agg(F.max("n_rows")).first()[0]  # one number
     while most:
-        blocks = leaves.withColumn("_block", F.shiftright("row", BLOCK)).groupBy("tree", "_block").applyInArrow(_block_of, _BLOCKS_DDL)
+        blocks = leaves.withColumn("_block", F.shiftright("row", levels)).groupBy("tree", "_block").applyInArrow(one_block, _BLOCKS_DDL)
         out.append(written(blocks, name))
-        most = (most + (1 << BLOCK) - 1) >> BLOCK if most > 1 << BLOCK else 0
+        most = (most + (1 << levels) - 1) >> levels if most > 1 << levels else 0
         size = out[-1].groupBy("tree").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1").withColumnRenamed("tree", "_tree")
         leaves = out[-1].join(size, F.col("tree") == F.col("_tree")).select("tree", F.col("block").alias("row"), "n_rows", F.col("root").alias("hash"))
     return out
@@ -131,22 +130,25 @@ def roots(stages: list[DataFrame]) -> DataFrame:
     """(tree, root): of each tree the block that is alone."""
     out = None
     for blocks in stages:
-        done = blocks.filter("not whole").select("tree", "root")
+        done = blocks.filter("levels = 0").select("tree", "root")
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _paths_below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(tree, row, path) of each leaf of stored blocks with the paths of their roots."""
+def _paths_below(blocks: DataFrame, levels: int) -> DataFrame:
+    """(_tree, _row, path) of each leaf of stored blocks with the paths of their roots."""
     schema = pa.schema([("_tree", pa.int64()), ("_row", pa.int64()), ("path", pa.binary())])
-    for batch in batches:
-        for r in range(batch.num_rows):
-            tree, block, n, whole, nodes, above = (batch.column(c)[r].as_py() for c in ("tree", "block", "n", "whole", "nodes", "above"))
-            found = siblings(nodes, n, whole)
-            yield as_batch(schema, [tree] * n, [(block << BLOCK) + k for k in range(n)], [pack(p) + above for p in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                tree, block, n, own, nodes, above = (batch.column(c)[r].as_py() for c in ("tree", "block", "n", "levels", "nodes", "above"))
+                yield as_batch(schema, [tree] * n, [(block << levels) + k for k in range(n)], [pack(p) + above for p in siblings(nodes, n, own)])
+
+    return blocks.mapInArrow(run, "_tree long, _row long, path binary")
 
 
-def block_paths(stages: list[DataFrame], tops: DataFrame | None, name: str) -> DataFrame:
+def block_paths(stages: list[DataFrame], tops: DataFrame | None, name: str, levels: int = BLOCK) -> DataFrame:
     """The blocks of stage 0 with ``above``, the packed path from a block's root to the end: down the
     stages, a block's path is that of the leaf it is in the block above, or ``tops`` (tree, path) for
     the last one of a tree."""
@@ -154,15 +156,15 @@ def block_paths(stages: list[DataFrame], tops: DataFrame | None, name: str) -> D
     for blocks in reversed(stages):
         now = blocks
         if tops is not None:
-            now = now.join(tops.select(F.col("tree").alias("_top"), F.col("path").alias("_top_path")), (F.col("tree") == F.col("_top")) & ~F.col("whole"), "left")
+            now = now.join(tops.select(F.col("tree").alias("_top"), F.col("path").alias("_top_path")), (F.col("tree") == F.col("_top")) & (F.col("levels") == 0), "left")
         else:
             now = now.withColumn("_top_path", F.lit(b""))
         if given is not None:
-            now = now.join(given, (F.col("tree") == F.col("_tree")) & (F.col("block") == F.col("_row")) & F.col("whole"), "left")
+            now = now.join(given, (F.col("tree") == F.col("_tree")) & (F.col("block") == F.col("_row")) & (F.col("levels") > 0), "left")
         else:
             now = now.withColumn("path", F.lit(None).cast("binary"))
         now = written(now.select(*blocks.columns, F.coalesce("path", "_top_path", F.lit(b"")).alias("above")), name)
-        given = now.mapInArrow(_paths_below, "_tree long, _row long, path binary")
+        given = _paths_below(now, levels)
     return now
 
 
@@ -175,26 +177,26 @@ def leaf_hash(*fields: Column) -> Column:
     return F.sha2(F.concat(*[one(c) for c in fields]), 256)
 
 
-def _verify(key: tuple, rows: pa.Table, blocks: pa.Table) -> pa.Table:
+def _verify(rows: pa.Table, blocks: pa.Table) -> pa.Table:
     """Proofs of one block's rows, checked against the stored siblings."""
     block = blocks.to_pylist()[0]
     above = unpack(block["above"])
-    paths = siblings(block["nodes"], block["n"], block["whole"])
+    paths = siblings(block["nodes"], block["n"], block["levels"])
     ends: dict[bytes, bytes] = {}  # of digests at the block's root
     proof, folded = [], []
-    for row, digest in zip(rows["row"].to_pylist(), rows["shown"].to_pylist()):
-        path = paths[row & ((1 << BLOCK) - 1)]
+    for at, digest in zip(rows["at"].to_pylist(), rows["shown"].to_pylist(), strict=True):
+        path = paths[at]
         proof.append(_parent([other for side, other in path + above if side]).hex())
         at_root = fold(digest, path)
         if at_root not in ends:
             ends[at_root] = fold(at_root, above)
         folded.append(ends[at_root].hex())
-    return pa.table({"doc_id": rows["doc_id"], "tree": rows["tree"], "leaf": [h.hex() for h in rows["hash"].to_pylist()],
+    return pa.table({"doc_id": rows["doc_id"], "tree": rows["tree"], "leaf": [x.hex() for x in rows["hash"].to_pylist()],
                      "proof_sha256": proof, "folded_root": folded})
 
 
 def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang", "n_chars", "text"), id_col: str = "doc_id",
-             group_col: str = "lang", changed_col: str = "n_chars", tampered: Column | None = None) -> DataFrame:
+             group_col: str = "lang", changed_col: str = "n_chars", tampered: Column | None = None, levels: int = BLOCK) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of every row.
 
     A row's leaf is ``leaf_hash`` of ``fields``. The leaves of a group (of equal ``group_col``, null
@@ -207,7 +209,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     Rows where ``tampered`` holds are shown to the check with ``changed_col`` raised by 1 (null stays);
     ``folded_root`` comes from the shown leaf and the stored siblings, ``verified`` says whether it is the root.
 
-    Leaves are numbered by distributed prefix sums; a task holds a block of 1,024 leaves and its path.
+    Leaves are numbered by distributed prefix sums; a task holds a block of 2^levels leaves and its path.
     Null fields are leaves' ``-``. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -222,19 +224,20 @@ def manifest(docs: DataFrame, fields: Sequence[str] = ("doc_id", "source", "lang
     numbered = placed.join(trees, F.col("group").eqNullSafe(F.col("_group"))).select(
         "doc_id", "tree", "row", "n_rows", F.unhex("leaf").alias("hash"), F.unhex(F.coalesce("other", "leaf")).alias("shown"))
     numbered = written(numbered, "numbered")
-    stages = build(numbered.select("tree", "row", "n_rows", "hash"), "blocks")
+    stages = build(numbered.select("tree", "row", "n_rows", "hash"), "blocks", levels)
     columns = "doc_id long, tree long, leaf string, proof_sha256 string, folded_root string"
     if not stages:
         return spark.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     subroots = written(roots(stages), "subroots")
     n_trees = trees.count()
     above = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("row"), F.lit(n_trees).cast("long").alias("n_rows"), F.col("root").alias("hash"))
-    top = build(above, "top")
+    top = build(above, "top", levels)
     root = F.lit(roots(top).first()["root"].hex())
-    tops = block_paths(top, None, "top_paths").mapInArrow(_paths_below, "_tree long, _row long, path binary")
+    tops = _paths_below(block_paths(top, None, "top_paths", levels), levels)
     tops = written(tops.select(F.col("_row").alias("tree"), "path"), "tops")
-    ready = block_paths(stages, tops, "paths")
-    checked = numbered.groupBy("tree", F.shiftright("row", BLOCK).alias("block")).cogroup(ready.groupBy("tree", "block")).applyInArrow(_verify, columns)
+    ready = block_paths(stages, tops, "paths", levels)
+    numbered = numbered.withColumns({"block": F.shiftright("row", levels), "at": F.col("row") % (1 << levels)})
+    checked = numbered.groupBy("tree", "block").cogroup(ready.groupBy("tree", "block")).applyInArrow(_verify, columns)
     subroots = subroots.select(F.col("tree").alias("_tree"), F.lower(F.hex("root")).alias("subroot"))
     out = checked.join(subroots, F.col("tree") == F.col("_tree"))
     return out.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
