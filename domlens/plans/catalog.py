@@ -36,4 +36,4 @@ def query(name: str, sql: str | None = None, round_doubles: bool = True):
 def load_all() -> None:
     """Import every catalog module (each registers its queries on import)."""
     from . import (catalog_lexical, catalog_metrics, catalog_ml, catalog_models, catalog_pipeline,  # noqa: F401
-                   catalog_profile, catalog_records, catalog_sets, catalog_verdicts)
+                   catalog_profile, catalog_records, catalog_sets, catalog_sources, catalog_verdicts)

@@ -111,9 +111,9 @@ def read_lines(spark: SparkSession, path: str, column: str = "domain") -> DataFr
     return spark.read.text(path).select(F.trim("value").alias(column)).filter(F.col(column) != "")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """S8 source: CSV with a header (declared schema when given)."""
-    r = spark.read.option("header", True)
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",") -> DataFrame:
+    """S8 / S9 source: CSV (``sep='\\t'``: TSV) with a header (declared schema when given)."""
+    r = spark.read.option("header", True).option("sep", sep)
     return (r.schema(schema) if schema else r).csv(path)
 
 
@@ -157,6 +157,18 @@ def parse_ranking_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         F.regexp_extract(v, RANKING_LINE, 2).cast("double").alias("mean_value"))
 
 
+def write_attribution_log(attributions: DataFrame, path: str) -> None:
+    """S12 sink: one line for each (domain, feature, value)."""
+    line = F.concat(F.lit("Domain: "), "domain", F.lit(", Feature: "), "feature", F.lit(", SHAP Value: "), F.lower(F.col("value").cast("string")))
+    attributions.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def write_ranking(ranking: DataFrame, path: str) -> None:
+    """S13 sink: one line for each (feature, mean_value)."""
+    line = F.concat(F.lit("Feature: "), "feature", F.lit(", Mean SHAP Value: "), F.col("mean_value").cast("string"))
+    ranking.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
 def read_attribution_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_attribution_lines(spark.read.text(path))
 
