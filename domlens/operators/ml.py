@@ -20,7 +20,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClass
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
@@ -187,6 +187,14 @@ def score(model, df: DataFrame) -> DataFrame:
     return out
 
 
+def score_row(model, row: dict, df_schema: str | None = None) -> dict:
+    """Prediction and positive-class probability of one row given as a dict of its features (one-row input)."""
+    spark = SparkSession.active()
+    df = spark.createDataFrame([row], df_schema) if df_schema else spark.createDataFrame([row])
+    found = score(model, df).select("prediction", "p_positive").first()
+    return {"prediction": found["prediction"], "p_positive": found["p_positive"]}
+
+
 def evaluate(scored: DataFrame, label: str = "label", pred: str = "prediction", *group: str) -> DataFrame:
     """A7-A9 metrics of a scored table (binary)."""
     return M.binary_metrics(M.binary_counts(scored, label, pred, 1, *group))

@@ -89,5 +89,10 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 
 def lookup_copy(names: DataFrame, table: DataFrame, key: str = KEY) -> DataFrame:
-    """Every table row matching a listed name, once per listing (duplicates multiply)."""
-    return names.select(key).join(table, key, "inner")
+    """Every table row matching a listed name, once per listing (duplicates multiply).
+
+    A name that is listed often is one row with its count, so that only the table's rows of a hot name
+    meet; the copies are made row by row after the join."""
+    listed = names.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_times"))
+    met = table.join(listed, table[key] == listed["_key"])
+    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_key", "_times", "_copy")

@@ -23,7 +23,8 @@ from ..operators import tuning as G
 from ..operators.blocks import saved
 from .bindings import table
 from .catalog import query
-from .catalog_ml import SQL_VECTORS, parts, sql_histogram, sql_slot, vectors
+from .catalog_ml import SQL_VECTORS, parts, sql_histogram, vectors
+from .catalog_ml import _seed_runs as seed_runs
 
 # ---------------------------------------------------------------- M17: attributions by tree, row by row
 PAIRS = 32
@@ -318,3 +319,29 @@ def grid_folds(spark, sf_dir):
 def best_point(spark, sf_dir):
     """M11 + M12: mean weighted score on the folds left out, mean F1 on the rows fitted on, and the best grid point."""
     return G.best_point(_grid(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- M3, M5, M6, M13: what doesn't hang on the fit
+_PLAIN = {
+    "logreg": lambda n: ML.logistic_regression(n), "tree": lambda n: ML.decision_tree(24), "depth_2": lambda n: ML.decision_tree(2), "depth_8": lambda n: ML.decision_tree(8),
+    "forest": lambda n: ML.random_forest(20, 10),
+}
+
+
+@query("M3_M5_M6_M13_counts", _sql_class_counts(dict.fromkeys(_PLAIN, "(label < 5)")))
+def plain_counts(spark, sf_dir):
+    """Held-out rows that each model gave a verdict, by true class."""
+    df, features = vectors(spark, sf_dir)
+    train, test = parts(df)
+    train, n, out = saved(ML.assemble(features).transform(train).select("label", "features"), "train"), train.count(), None
+    test = saved(ML.assemble(features).transform(test).select("vec_id", "label", "features"), "test")
+    for name, make in _PLAIN.items():
+        part = _class_counts(ML.score(make(n).fit(train), test), name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("M6_forest_seeds")
+def forest_seeds(spark, sf_dir):
+    """M6 + A12: entropy forest (40 trees, depth 17) over three seeded splits."""
+    return seed_runs(spark, sf_dir, "forest", lambda n, s: ML.random_forest(40, 17, seed=s))

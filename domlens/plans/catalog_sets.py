@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lexicon import BENIGN_KEYWORDS, PHISHING_KEYWORDS
 from ..operators import rules as R
 from ..operators import setops as S
 from . import oracle as O
@@ -147,3 +148,20 @@ def rule_theta_join(spark, sf_dir):
     from .bindings import page_hosts
     hosts = page_hosts(spark, sf_dir).select("page_id", "domain_name")
     return R.tag_rules(hosts, "domain_name", RULES)
+
+
+# rules of keywords, each with and without a group or class beside its literal
+MANY = RULES + [p for k in (*PHISHING_KEYWORDS, *BENIGN_KEYWORDS) for p in (rf"^{k}[0-9]*\\.", rf"(^|\\.){k}-?[a-z]+", rf"{k}\\.(com|net)$")] + [r"^[a-z]{4}\\.", r"[0-9]+\\.(com|org)$"]
+
+
+@query("J7_many_rules", f"""
+WITH h AS (SELECT page_id, domain_name FROM ({SQL_HTTPS.replace("starts_with(url, 'https:')", 'TRUE')})),
+r AS (SELECT unnest({O.str_list(MANY)}) AS rule, unnest(range(1, {len(MANY) + 1}))::INTEGER AS rule_no),
+m AS (SELECT d.domain_name, min(rule_no) AS rule_no FROM (SELECT DISTINCT domain_name FROM h) d JOIN r ON regexp_matches(d.domain_name, r.rule) GROUP BY 1)
+SELECT page_id, h.domain_name, rule_no, rule FROM h LEFT JOIN m ON h.domain_name = m.domain_name LEFT JOIN r USING (rule_no)
+""")
+def many_rules(spark, sf_dir):
+    """The first of a long list of rules that each page host matches, by an index of the rules' literals."""
+    from .bindings import page_hosts
+    hosts = page_hosts(spark, sf_dir).select("page_id", "domain_name")
+    return R.tag_many_rules(hosts, "domain_name", MANY)

@@ -9,11 +9,15 @@ time - 1 h unless value < 2; live status from the event type.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import explain as X
 from ..operators import verdicts as V
 from .bindings import table
+from ..session import checkpoint_root
+from ..sources.snapshot import KeyedSnapshot
 from .catalog import query
 
 
@@ -164,3 +168,20 @@ def dropna(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return d.join(lab, "doc_id", "left").dropna()
+
+
+@query("F4_U5_resumable_merge", f"""
+WITH v AS (SELECT * FROM ({SQL_VERDICTS})),
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY (event_type <> 'view')::INT, event_id) AS rk FROM v)
+SELECT {_REPORT_COLS}, event_id FROM r WHERE rk = 1
+""")
+def resumable_merge(spark, sf_dir):
+    """F4 + U5 + S4: earlier results, then the new ones of domains without a result, merged into a keyed snapshot; each batch
+    is sent twice, and counts once."""
+    cols = [c.strip() for c in _REPORT_COLS.split(",")] + ["event_id"]
+    v = verdict_table(spark, sf_dir)
+    table_ = KeyedSnapshot(spark, f"{checkpoint_root(spark)}/snapshot-{uuid.uuid4().hex[:12]}", "domain", "event_id")
+    for batch, part in (("early", F.col("event_type") == "view"), ("late", F.col("event_type") != "view")):
+        for _ in range(2):
+            table_.merge(table_.new_keys(v.filter(part).select(*cols)), batch)
+    return table_.rows().select(*cols)
