@@ -117,6 +117,12 @@ def top_ngrams(spark, sf_dir):
     return NG.domain_ngram_dictionary(hosts, load_suffix_rules(spark), "pages", NG.TOP_N_DEFAULT)
 
 
+@query("A2_heavy_ngrams", TOP_SQL)
+def heavy_ngrams(spark, sf_dir):
+    """A2: the same rows from summaries of bounded size and a recount."""
+    return NG.heavy_ngram_dictionary(_stripped_hosts(spark, sf_dir), "t", "pages", NG.TOP_N_DEFAULT)
+
+
 # ---------------------------------------------------------------- L20: dictionary matches
 FAMILY_SETS = {  # family -> (url predicate in Spark, in SQL, top-N)
     "phishing": (lambda u: u.startswith("https:"), "starts_with(url, 'https:')", NG.TOP_N_DEFAULT),
