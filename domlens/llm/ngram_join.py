@@ -40,7 +40,7 @@ LEADERS = 3          # of an n-gram in a round
 WORK = 32            # documents outside an n-gram's largest class from which on leaders are tried first
 
 _SETS = pa.schema([("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("prefix", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in PARTS] + [("wide", pa.list_(pa.int64()))])
-_GRAMS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64()), ("digest2", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_GRAMS = pa.schema([("doc_id", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[np.ndarray]:
@@ -148,16 +148,14 @@ def _ceil(x: Fraction) -> int:
 
 
 def whole_sets(texts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, digest, digest2, grams: 64-bit hashes) of the documents to verify."""
+    """(doc_id, grams: 64-bit hashes) of the documents to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
-            sets = list(_sets(batch, n))
-            digests = [_digests(g) for g in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([g.astype(np.int64) for g in sets], _GRAMS.field("grams").type)], schema=_GRAMS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g.astype(np.int64) for g in _sets(batch, n)], _GRAMS.field("grams").type)], schema=_GRAMS)
         release()
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest long, digest2 long, grams array<long>")
+    return texts.mapInArrow(run, "doc_id long, grams array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
@@ -191,11 +189,11 @@ def components(links: DataFrame, name: str = "classes") -> DataFrame:
     return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "doc_id")
 
 
-def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col: str, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(sets, same, label). ``sets``: a row for each document (row, doc_id, t1, t2: hashes of the text, n, digest,
+def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col: str, null_ids: bool) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """(sets, same, label, often). ``sets``: a row for each document (row, doc_id, t1, t2: hashes of the text, n, digest,
     digest2). ``same``: each distinct set that isn't empty (digest, digest2, n, rep: its smallest id, sid: the row
     of its first document, which stands for it). ``label``: (doc_id: a sid, component: the smallest sid that links lead to) of all
-    linked sets, or None.
+    linked sets, or None. ``often``: the ids (often) of several rows.
 
     Sets are known by their digests and rows throughout, never by ids, so that ids that repeat with
     different texts, and null ids (if ``null_ids``), take part like others.
@@ -209,9 +207,13 @@ def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col:
 
     # documents with one set are one class, which its first document stands for
     one = ["digest", "digest2", "n"]
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "row")).alias("f")
     same = sets.filter("n > 0" if null_ids else "n > 0 and doc_id is not null").groupBy(*one).agg(first)
-    same = written(same.select(*one, F.col("f.doc_id").alias("rep"), F.col("f.row").alias("sid")), "reps")
+    same = written(same.select(*one, F.col("f.doc_id").alias("rep"), "f.t1", "f.t2", F.col("f.row").alias("sid")), "reps")
+    # ids of several rows, and which of their rows repeat a text
+    often = written(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("often")), "often")
+    again = sets.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left_semi").groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("_n"))
+    again = written(again.filter("_n > 1").select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "again")
     reps = sets.join(same.select(F.col("sid").alias("row")), "row", "left_semi").withColumn("doc_id", F.col("row"))
     posts = reps.select("doc_id", F.posexplode("prefix").alias("at", "gram"))
     shared = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
@@ -222,11 +224,16 @@ def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col:
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """(doc_id, grams) of the sids in ``ends``, from the texts of the documents that stand for them."""
-        wanted = written(same.join(ends.withColumnRenamed("doc_id", "sid"), "sid", "left_semi"), "ends")
-        found = whole_sets(texts.join(wanted.select("rep"), texts["doc_id"].eqNullSafe(wanted["rep"]), "left_semi"), n).alias("f")
-        on = F.col("f.doc_id").eqNullSafe(F.col("w.rep")) & (F.col("f.digest") == F.col("w.digest")) & (F.col("f.digest2") == F.col("w.digest2")) & (F.col("f.n") == F.col("w.n"))
-        # rows that repeat an id and its set give it once
-        return found.join(wanted.alias("w"), on).select(F.col("w.sid").alias("doc_id"), "grams").dropDuplicates(["doc_id"])
+        wanted = same.join(ends.withColumnRenamed("doc_id", "sid"), "sid", "left_semi").select("sid", "rep", F.col("t1").alias("w1"), F.col("t2").alias("w2"))
+        more = wanted["rep"].eqNullSafe(again["d"]) & (wanted["w1"] == again["u1"]) & (wanted["w2"] == again["u2"])
+        single, several = written(wanted.join(again, more, "left_anti"), "wanted"), written(wanted.join(again, more, "left_semi"), "wanted_again")
+
+        def found(these: DataFrame) -> DataFrame:
+            on = texts["doc_id"].eqNullSafe(these["rep"]) & (texts["t1"] == these["w1"]) & (texts["t2"] == these["w2"])
+            return texts.join(these, on).select(F.col("sid").alias("doc_id"), "text")
+
+        # rows that repeat an id and its text give it once
+        return whole_sets(found(single).unionByName(found(several).groupBy("doc_id").agg(F.min("text").alias("text"))), n)
 
     def link(pairs: DataFrame) -> bool:
         """Verify new pairs, each once, and bring the classes up to date; whether there are new links."""
@@ -265,7 +272,7 @@ def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col:
         turn, before = turn + 1, left
     mine = labelled(posts)
     link(_remaining(mine, _largest(mine).filter("t.c < m"), p, q).distinct())
-    return sets.select("row", "doc_id", "t1", "t2", *one), same, label
+    return sets.select("row", "doc_id", "t1", "t2", *one), same.drop("t1", "t2"), label, often
 
 
 def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,10 +286,10 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: s
     with whatever any of them is like. Rows with a null id are linked with nothing and have a null
     component. Other columns are ignored; an empty table gives no rows.
     """
-    sets, same, label = set_classes(docs, n, threshold, id_col, text_col, null_ids=False)
+    sets, same, label, often = set_classes(docs, n, threshold, id_col, text_col, null_ids=False)
     one = ["digest", "digest2", "n"]
     # an id with several sets links these
-    own = sets.filter("doc_id is not null and n > 0").groupBy("doc_id", *one).agg(F.lit(1).alias("_")).join(same, one)
+    own = sets.filter("doc_id is not null and n > 0").join(often.withColumnRenamed("often", "doc_id"), "doc_id", "left_semi").select("doc_id", *one).distinct().join(same, one)
     several = own.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("most")).filter("b < most").select("doc_id", "b")
     links = written(own.join(several, "doc_id").filter("sid > b").select(F.col("sid").alias("a"), "b").distinct(), "own_links")
     if links.head(1):
@@ -299,7 +306,7 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: str = "0.8", id_col: str
     """(doc_id, t1, t2) of the texts that aren't the first of their class, by id, null last, and then by the hashes
     t1 and t2 of the text (``text_hashes``). Classes are of texts, whatever their ids: a text that only shares its id
     with another isn't linked with it. Rows that repeat an id and its text are alike."""
-    sets, same, label = set_classes(docs, n, threshold, id_col, text_col, null_ids=True)
+    sets, same, label, _ = set_classes(docs, n, threshold, id_col, text_col, null_ids=True)
     one = ["digest", "digest2", "n"]
     classes = same.select(*one, F.col("sid").alias("class"))
     if label is not None:
