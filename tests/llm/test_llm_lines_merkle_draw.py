@@ -176,7 +176,7 @@ def test_draw_is_brute_force(spark, docs, no_docs, corpus, monkeypatch):
     odd += [(-5, odd[0][1]), (1 << 40, odd[1][1]), (-(1 << 62), odd[2][1]), (None, odd[3][1]), (None, None), (900, None), (901, ""), (902, "q" * 100_000 + " end"), (903, "word " * 30_000)]
     for rows in (odd, [(r[0], r[1]) for r in corpus[1]]):
         df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, row int, bucket string").repartition(3)
-        for percent in (25, 100):
+        for percent in (25, 100) if rows is odd else (25,):
             assert drawn(df, target, percent=percent) == plain_draw(rows, texts, percent)
     same = resampling.resample(docs, target, percent=100, min_words=1).collect()  # repeated rows: any order among equals
     assert sorted(r["rank"] for r in same if r["rank"]) == list(range(1, 1 + sum(r["n_words"] > 0 for r in same)))
