@@ -210,10 +210,8 @@ def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2", "row")).alias("f")
     same = sets.filter("n > 0" if null_ids else "n > 0 and doc_id is not null").groupBy(*one).agg(first)
     same = written(same.select(*one, F.col("f.doc_id").alias("rep"), "f.t1", "f.t2", F.col("f.row").alias("sid")), "reps")
-    # ids of several rows, and which of their rows repeat a text
+    # ids of several rows
     often = written(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("often")), "often")
-    again = sets.join(often, F.col("doc_id").eqNullSafe(F.col("often")), "left_semi").groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("_n"))
-    again = written(again.filter("_n > 1").select(F.col("doc_id").alias("d"), F.col("t1").alias("u1"), F.col("t2").alias("u2")), "again")
     reps = sets.join(same.select(F.col("sid").alias("row")), "row", "left_semi").withColumn("doc_id", F.col("row"))
     posts = reps.select("doc_id", F.posexplode("prefix").alias("at", "gram"))
     shared = posts.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("gram")
@@ -224,21 +222,22 @@ def set_classes(docs: DataFrame, n: int, threshold: str, id_col: str, text_col:
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """(doc_id, grams) of the sids in ``ends``, from the texts of the documents that stand for them."""
-        wanted = same.join(ends.withColumnRenamed("doc_id", "sid"), "sid", "left_semi").select("sid", "rep", F.col("t1").alias("w1"), F.col("t2").alias("w2"))
-        more = wanted["rep"].eqNullSafe(again["d"]) & (wanted["w1"] == again["u1"]) & (wanted["w2"] == again["u2"])
-        single, several = written(wanted.join(again, more, "left_anti"), "wanted"), written(wanted.join(again, more, "left_semi"), "wanted_again")
-
-        def found(these: DataFrame) -> DataFrame:
-            on = texts["doc_id"].eqNullSafe(these["rep"]) & (texts["t1"] == these["w1"]) & (texts["t2"] == these["w2"])
-            return texts.join(these, on).select(F.col("sid").alias("doc_id"), "text")
-
-        # rows that repeat an id and its text give it once
-        return whole_sets(found(single).unionByName(found(several).groupBy("doc_id").agg(F.min("text").alias("text"))), n)
+        wanted = same.join(ends.withColumnRenamed("doc_id", "sid"), "sid", "left_semi")
+        here = wanted["rep"].eqNullSafe(often["often"])
+        single = written(wanted.join(often, here, "left_anti").select("sid", "rep"), "wanted")
+        found = texts.join(single, texts["doc_id"].eqNullSafe(single["rep"])).select(F.col("sid").alias("doc_id"), "text")
+        # ids of several rows: by the text, and rows that repeat an id and its text give it once
+        several = written(wanted.join(often, here, "left_semi").select("sid", "rep", F.col("t1").alias("w1"), F.col("t2").alias("w2")), "wanted_often")
+        on = texts["doc_id"].eqNullSafe(several["rep"]) & (texts["t1"] == several["w1"]) & (texts["t2"] == several["w2"])
+        again = texts.join(several, on).groupBy(F.col("sid").alias("doc_id")).agg(F.min("text").alias("text"))
+        return whole_sets(found.unionByName(again), n)
 
     def link(pairs: DataFrame) -> bool:
         """Verify new pairs, each once, and bring the classes up to date; whether there are new links."""
         nonlocal tried, label, grams
         pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            return False
         tried = pairs if tried is None else tried.union(pairs)
         wide = reps.select("doc_id", "n", "wide").join(written(_ends(pairs), "ends"), "doc_id", "left_semi")
         pairs = written(_second_filter(pairs, wide, p, q), "pairs")
