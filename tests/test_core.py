@@ -95,3 +95,17 @@ def test_ipv6_gap_positions(spark):
     df = spark.createDataFrame([(a,) for a in addrs], "ip string")
     got = [r[0] for r in df.select(ipv6_canonical(F.col("ip"))).collect()]
     assert got == [ipaddress.IPv6Address(a).exploded for a in addrs]
+
+
+def test_entropies_sort_without_a_comparator(spark):
+    """Entropies match plain Python, and no lambda compares the characters that are sorted."""
+    def plain(v):
+        return -sum(v.count(x) / len(v) * math.log2(v.count(x) / len(v)) for x in set(v)) if len(v) else 0.0
+
+    texts = ["", "a", "aab", "www.example.com", "éa\nb\né"]
+    lists = [[], [1], [3, 1, 3, 2], [7, 7]]
+    df = spark.createDataFrame([(t, v) for t in texts for v in lists], "s string, v array<long>")
+    out = df.select("s", "v", C.char_entropy("s").alias("hs"), C.value_entropy("v").alias("hv"))
+    for r in out.collect():
+        assert abs(r.hs - plain(r.s)) < 1e-12 and abs(r.hv - plain(r.v)) < 1e-12, r
+    assert "array_sort(" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -56,3 +56,10 @@ def test_odd_names(spark, rules):
     df = spark.createDataFrame([(None,), ("",), (".",), ("com",), ("a..com",), ("A.CO.UK",)], "domain_name string")
     out = {r.domain_name: (r.tmp_tld, r.tmp_sld, r.tmp_sub) for r in D.with_domain_parts(df, "domain_name", rules).collect()}
     assert out[""] == ("", "", "") and out["com"] == ("com", "", "") and out["A.CO.UK"] == ("CO.UK", "A", "") and out[None][0] in ("", None)
+
+
+def test_shipped_rules_are_broadcast(spark, rules):
+    """The records aren't shuffled by their last label: the size of the shipped list is known when the join is planned."""
+    df = spark.range(10).select(F.concat(F.lit("www.a"), F.col("id").cast("string"), F.lit(".com")).alias("domain_name"))
+    plan = D.with_domain_parts(df, "domain_name", rules)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
