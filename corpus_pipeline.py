@@ -75,9 +75,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every row, also of rows that repeat an id or have none; null and empty
-    texts have no ids."""
+    texts have no ids. The stage's table in the shared folder has the whole of each row: its ids, the
+    spans that they stand for and the decoded text."""
     with small_batches(spark):
-        return written(pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"), output="ids", slice_bytes=1 << 20), "pieces")
+        whole = written(pieces.encode_documents(docs, tokenizer("piece_bpe_32k.model"), output="compact", slice_bytes=1 << 20), "pieces")
+    return whole.select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [

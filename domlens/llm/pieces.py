@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import SLICE_BYTES, narrow, slices
+from .common import SLICE_BYTES, narrow, release, slices
 
 SPACE = "▁".encode()  # fixed value: the library's mark for a space
 
@@ -198,11 +198,13 @@ def _codec(path: str) -> PieceCodec:
 # ---------------------------------------------------------------- on tables
 _SHAPES = {
     "pieces": pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())]),
+    "compact": pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("first", pa.int64()), ("sizes", pa.list_(pa.int32())), ("decoded", pa.string())]),
     "ids": pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]),
     "digests": pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("covered", pa.int64())]),
 }
 _DDL = {
     "pieces": "doc_id long, ids array<int>, starts array<long>, ends array<long>, decoded string",
+    "compact": "doc_id long, n_tokens long, ids array<int>, first long, sizes array<int>, decoded string",
     "ids": "doc_id long, n_tokens long, ids array<int>",
     "digests": "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered long",
 }
@@ -217,6 +219,8 @@ def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col
 
     * pieces: (doc_id, ids, starts, ends, decoded), where starts[k] to ends[k] are the UTF-8 bytes of
       the text that piece k stands for;
+    * compact: (doc_id, n_tokens, ids, first, sizes, decoded), the same with less to store: the first
+      piece starts at byte ``first``, each other where the one before it ends, and sizes has their bytes;
     * ids: (doc_id, n_tokens, ids);
     * digests: (doc_id, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256,
       covered: bytes of the text inside spans).
@@ -237,12 +241,15 @@ def encode_documents(docs: DataFrame, model: str, output: str = "pieces", id_col
                 columns["ids"] = [np.array(ids, np.int32) for ids, _ in found]
             if output == "pieces":
                 columns |= {"starts": [b[:-1] for _, b in found], "ends": [b[1:] for _, b in found]}
+            if output == "compact":
+                columns |= {"first": [int(b[0]) for _, b in found], "sizes": [np.diff(b).astype(np.int32) for _, b in found]}
             if output != "ids":
                 decoded = [codec.decode(ids) if ids else "" for ids, _ in found]
-                columns |= {"decoded": decoded} if output == "pieces" else {
+                columns |= {"decoded": decoded} if output != "digests" else {
                     "ids_sha256": [_sha256(",".join([codec.decimal[i] for i in ids])) for ids, _ in found],
                     "decoded_sha256": [_sha256(t) for t in decoded], "covered": [int(b[-1] - b[0]) for _, b in found]}
             yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in shape], schema=shape)
+        release()
 
     rows = narrow(docs, doc_id=id_col, text=text_col)
     rows = rows.select(rows["doc_id"].cast("long"), rows["text"].cast("binary").alias("text"))

@@ -16,8 +16,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from domlens.llm import cuckoo_dedup, mixing, mtree, ngram_join, sharding, toxicity, warc
-from domlens.llm.common import scratch
+from domlens.llm import cuckoo_dedup, mixing, mtree, ngram_join, pieces, sharding, toxicity, warc
+from domlens.llm.common import scratch, written
 from tests.llm.conftest import SF
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -410,6 +410,22 @@ def test_pipeline_run(spark):
     assert out.columns == ["doc_id", "n_tokens", "ids"] and all(len(r["ids"]) == r["n_tokens"] > 0 for r in out.collect())
 
 
+def test_pipeline_keeps_spans_and_decoded_text(spark, monkeypatch):
+    """The last stage encodes and decodes: its table has spans and decoded texts beside the ids."""
+    kept = []
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, name: kept.append(written(df, name)) or kept[-1])
+    docs = spark.createDataFrame([(1, "Two words"), (2, None), (None, "")], "doc_id long, text string")
+    out = corpus_pipeline.encode(spark, docs, SF)
+    assert out.columns == ["doc_id", "n_tokens", "ids"] and len(kept) == 1
+    rows = {r["doc_id"]: r for r in kept[0].collect()}
+    spans = {r["doc_id"]: r for r in pieces.encode_documents(docs, corpus_pipeline.tokenizer("piece_bpe_32k.model")).collect()}
+    assert rows[1]["decoded"] == "Two words" and rows[1]["first"] == 0 and rows[2]["ids"] == rows[None]["ids"] == []
+    for k, r in rows.items():
+        ends = [r["first"] + sum(r["sizes"][:i + 1]) for i in range(len(r["ids"]))]
+        assert spans[k]["ids"] == r["ids"] and spans[k]["ends"] == ends and spans[k]["starts"] == [e - n for e, n in zip(ends, r["sizes"], strict=True)]
+    assert {r["doc_id"]: r["n_tokens"] for r in out.collect()} == {k: len(r["ids"]) for k, r in rows.items()}
+
+
 def test_ids_with_several_texts(spark):
     """Links hang on texts: an id with several texts is linked by each of them, and drops only the near copies."""
     long = " ".join(f"w{i}" for i in range(80))
