@@ -218,3 +218,21 @@ def test_grid_by_weighted_score(table):
     assert sum(r["is_best"] for r in best) == 1 and max(best, key=lambda r: r["mean_test"])["is_best"]
     one = ML.decision_tree(4).fit(data).transform(data)
     assert G.WeightedScore().evaluate(one) > G.WeightedScore().evaluate(ML.decision_tree(1).fit(data).transform(data))
+
+
+def test_total_sends_the_driver_one_sum(spark, monkeypatch):
+    """Whatever the partitions, one sum reaches the driver; partitions without blocks add nothing."""
+    from pyspark import RDD
+
+    from domlens.operators import blocks as BL
+
+    sizes, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sizes.append(found := collect(self)) or found)
+    for rows, parts in ((40, 16), (3, 8), (5, 1), (2, 2), (0, 4)):
+        rdd = spark.sparkContext.parallelize(range(rows), parts)
+        got = BL.total(rdd, lambda v: [np.array([v, 1.0]), np.full((2, 2), v)])
+        if rows:
+            assert got[0].tolist() == [sum(range(rows)), rows] and (got[1] == sum(range(rows))).all()
+        else:
+            assert got is None
+    assert [len(s) for s in sizes] == [1, 1, 1, 1, 0]
