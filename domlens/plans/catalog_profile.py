@@ -9,6 +9,7 @@ from ..functions.domain import load_suffix_rules
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import tls as TLS
+from ..operators.blocks import saved
 from ..operators.lexical import extra_lexical_columns, lexical_features, with_intermediates
 from . import oracle as O
 from . import records_sql as RS
@@ -87,7 +88,8 @@ TLS_CORR_COLUMNS = [*TLS_FEATURES, "label_code"]
     for x, y in ([(a, b)] if a == b else [(a, b), (b, a)])))
 def feature_correlations(spark, sf_dir):
     """Pairwise Pearson correlation of all TLS features and the encoded label."""
-    return PR.correlations(PR.label_codes(_tls_table(spark, sf_dir), "label"), TLS_CORR_COLUMNS)
+    t = saved(_tls_table(spark, sf_dir), "tls-features")  # read for the codes and for the sums
+    return PR.gram_correlations(PR.label_codes(t, "label"), TLS_CORR_COLUMNS).drop("n")
 
 
 # ---------------------------------------------------------------- L27
