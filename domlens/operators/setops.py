@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = "domain_name"
+SPAN = 4_096  # copies of a row that one row stands for until they are made
+TASK_COPIES = 4_000_000  # copies that a task makes
 
 
 def _keys(df: DataFrame, key: str, alias: str = "_k") -> DataFrame:
@@ -92,7 +94,13 @@ def lookup_copy(names: DataFrame, table: DataFrame, key: str = KEY) -> DataFrame
     """Every table row matching a listed name, once per listing (duplicates multiply).
 
     A name that is listed often is one row with its count, so that only the table's rows of a hot name
-    meet; the copies are made row by row after the join."""
+    meet. A row's copies are cut into spans, and the spans dealt to tasks in a number that follows all copies,
+    so that no task makes all copies of a hot name."""
     listed = names.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_times"))
-    met = table.join(listed, table[key] == listed["_key"])
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_key", "_times", "_copy")
+    met = table.join(listed, table[key] == listed["_key"]).drop("_key")
+    copies = met.agg(F.sum("_times")).first()[0] or 0  # one number
+    spans = met.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1, F.lit(SPAN).cast("long"))))
+    if copies > TASK_COPIES:
+        spans = spans.repartition(-(-copies // TASK_COPIES))
+    last = F.least(F.col("_from") + SPAN, F.col("_times")) - 1
+    return spans.withColumn("_copy", F.explode(F.sequence("_from", last))).drop("_times", "_from", "_copy")
