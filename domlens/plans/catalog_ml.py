@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import explain as X
 from ..operators import metrics as M
 from ..operators import ml as ML
+from ..operators.blocks import saved
 from .bindings import table
 from .catalog import query
 from .catalog_metrics import SQL_MEAN_ABS, attributions
@@ -198,7 +199,8 @@ def grid_search(spark, sf_dir):
     trained on, and the best grid point."""
     df, features = vectors(spark, sf_dir)
     df = ML.with_fold(df, "label", F.col("vec_id"), 3, seed=3)
-    asm = ML.assemble(features).transform(df)
+    # kept once: the fits read a table in pieces by its size, not the folds' join with a task result a shuffle partition
+    asm = saved(ML.assemble(features).transform(df).select("vec_id", "label", "fold", "features"), "grid")
     regs = [0.0001, 0.01, 1.0]
     lr = ML.logistic_regression(asm.count())
     cvm = ML.grid_search(lr, {"regParam": regs}, asm, "fold", parallelism=3)
