@@ -79,3 +79,12 @@ def test_class_weights(data):
     w = {r["label"]: r["weight"] for r in ML.class_weights(data).select("label", "weight").distinct().collect()}
     n = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
     assert all(w[c] == pytest.approx(400 / (2 * n[c])) for c in n)
+
+
+def test_forest_passes_keep_node_ids_and_grow_the_same_trees(spark, data):
+    rows = ML.assemble(["a", "b"]).transform(data)
+    for est in (ML.random_forest(5, 6), ML.decision_tree(6), ML.multiclass_trees(2)):
+        assert est.getCacheNodeIds()
+        plain = est.copy({est.cacheNodeIds: False})
+        assert est.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
+    assert spark.sparkContext.getCheckpointDir()
