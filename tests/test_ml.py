@@ -88,3 +88,16 @@ def test_forest_passes_keep_node_ids_and_grow_the_same_trees(spark, data):
         plain = est.copy({est.cacheNodeIds: False})
         assert est.fit(rows).toDebugString.split("\n")[1:] == plain.fit(rows).toDebugString.split("\n")[1:]
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_split_leaves_rows_where_they_are(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the rows were many
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.range(0, 2_000, 1, 6).select("id", (F.col("id") % 2).alias("label"))
+        for part in ML.split(df, "label", F.col("id"), 0.3, seed=1):
+            assert part.select(F.spark_partition_id().alias("p")).distinct().count() == 6
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
